@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.llm.near_copies import near_copies, near_copy_groups, row_pairs
+from skerry.llm.pack import fill_containers, fill_report
 from skerry.llm.ranking import ideal_point_ranking, majority_winners
 from skerry.llm.site_lines import found_lines, without_repeated_lines
 from skerry.llm.split import split_oversized
+from skerry.llm.tokens import encode_texts
 from skerry.session import table
 
 
@@ -23,6 +26,14 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.filter("boundary is not null and piece_no = 0").select("chunk_ord", "boundary")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return row_pairs(*near_copies(table(spark, folder, "chunks")))
+
+
+def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_copy_groups(table(spark, folder, "chunks"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return majority_winners(table(spark, folder, "search_hits"))
 
@@ -39,13 +50,30 @@ def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeated_lines(table(spark, folder, "chunks"))
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return encode_texts(table(spark, folder, "documents"))
+
+
+def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_containers(table(spark, folder, "documents"))
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_report(p7_pack(spark, folder), 2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_groups": p3_groups,
     "p4_found": p4_found,
     "p4_ranking": p4_ranking,
     "p5_found": p5_found,
     "p5_clean": p5_clean,
+    "p6_ids": p6_ids,
+    "p7_pack": p7_pack,
+    "p7_report": p7_report,
 }
 
 _NORM = r"""trim(regexp_replace(regexp_replace(lower({line}), '\p{{Nd}}+', '0', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"""
@@ -75,6 +103,17 @@ parts as (
 fits as (select chunk_ord, level from parts group by 1, 2 having max(length(trim(part, ' ' || chr(9) || chr(10) || chr(13)))) <= 1800)
 select l.chunk_ord, coalesce(['paragraph', 'line', 'sentence', 'word'][min(f.level)], 'none') as boundary
 from long l left join fits f on f.chunk_ord = l.chunk_ord group by l.chunk_ord""",
+    "p3_found": r"""
+with words as (
+  select chunk_ord, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from chunks where text is not null),
+sets as (
+  select chunk_ord, list_distinct(list_transform(range(1, len(w) - 1), lambda i: hash(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as s
+  from words where len(w) >= 3),
+one as (select chunk_ord, len(s) as n, unnest(s) as x from sets),
+met as (
+  select a.chunk_ord as a, b.chunk_ord as b, count(*) as common, max(a.n + b.n) as total
+  from one a join one b on a.x = b.x and a.chunk_ord < b.chunk_ord and a.n >= 0.7 * b.n and b.n >= 0.7 * a.n group by 1, 2)
+select a as chunk_ord_a, b as chunk_ord_b from met where common >= 0.7 * (total - common)""",
     "p4_found": """
 with s as (
   select query_id, chunk_id, scorer, max(case when isnan(score) then null else score end) as score
