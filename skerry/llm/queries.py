@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skerry.llm.abuse import score_documents, source_rates
+from skerry.llm.markup import clean_markup
 from skerry.llm.near_copies import near_copies, near_copy_groups, row_pairs
 from skerry.llm.pack import fill_containers, fill_report
 from skerry.llm.ranking import ideal_point_ranking, majority_winners
@@ -16,6 +18,14 @@ from skerry.llm.tokens import encode_texts
 from skerry.session import table
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return clean_markup(table(spark, folder, "chunks"), with_text=False).filter("has_markup").select("chunk_ord")
+
+
+def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return clean_markup(table(spark, folder, "chunks"))
+
+
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     pieces = split_oversized(table(spark, folder, "chunks"), ["chunk_ord", "doc_id", "chunk_id", "section"])
     return pieces.filter("n_pieces > 1")
@@ -62,7 +72,21 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(p7_pack(spark, folder), 2048)
 
 
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_scores(spark, folder).filter("score >= 0.5").select("doc_id")
+
+
+def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return source_rates(table(spark, folder, "documents"), p8_scores(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clean": p1_clean,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
@@ -74,6 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_ids": p6_ids,
     "p7_pack": p7_pack,
     "p7_report": p7_report,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
 
 _NORM = r"""trim(regexp_replace(regexp_replace(lower({line}), '\p{{Nd}}+', '0', 'g'), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"""
