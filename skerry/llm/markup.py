@@ -268,7 +268,7 @@ def load(path: str | None = None) -> dict[str, np.ndarray]:
 _DROP = frozenset(("comment", "tag", "tag_cut", "wikilink", "strong", "quotes", "under", "strike", "template", "environment", "display", "magic", "rule", "wiki_table", "table_rule", "underline", "fence", "task"))
 _GLYPHS = {"ldots": "…", "dots": "…", "textendash": "–", "textemdash": "—", "item": "\n- ", "textbackslash": "\\", "par": "\n"}
 _MARKS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307"}
-_ARGUMENT = re.compile(r"\{([^{}]*)\}")
+_LAST = re.compile("\1(?:\\[[^\\]]*\\])?(?:\\{[^{}]*\\}(?=\\{))*\\{([^{}]*)\\}")
 
 
 def _plain(line: str, signs: list[tuple[str, int, int]]) -> str:
@@ -326,7 +326,7 @@ def _plain(line: str, signs: list[tuple[str, int, int]]) -> str:
             out.append(sign)
     text = "".join([*out, line[at:]]).replace("\0", "")
     while "\1" in text:  # a command keeps what its last argument says
-        text, again = re.sub(r"\1(?:\[[^\]]*\])?(?:\{[^{}]*\}(?=\{))*\{([^{}]*)\}", r"\1", text, count=1), text
+        text, again = _LAST.sub(r"\1", text, count=1), text
         if text == again:
             text = text.replace("\1", "", 1)
     text = re.sub(r"(?<=\[)[^\[\]]*\|", "", text) if "[[" in text else text
