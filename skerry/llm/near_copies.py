@@ -8,6 +8,7 @@ candidates are verified by their similarity. Steps, all distributed:
    of the rows is one class in one row per task.
 2. Document frequencies of all rows, hashed to ``df_buckets`` counters. The table has that
    fixed size whatever the input, and is the only thing that is collected and broadcast.
+   The same pass gives each row's class.
 3. Sketch: ``bands * rows`` consistent weighted samples per class in numpy, whole batches at
    a time; a band's ``rows`` samples are mixed to one number.
 4. Band numbers are shuffled once, duplicates fall away, and equal numbers are joined in
@@ -22,23 +23,59 @@ step, so two shingles that share a row are never taken for one another.
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skerry.session import cut
 
 POOL = 1 << 14
 BLOCK = 4096
+BATCH = 2048
+COUNTS = 4096
 _U = np.uint64
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_WORD = re.compile(r"[^\W_]+")
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, in lower case, each after one space: longest runs of letters and digits."""
-    return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+class _Hashes(dict):
+    """Hashes of words, computed once per worker while they fit."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 2_000_000:
+            self.clear()
+        got = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return got
+
+
+_hashes = _Hashes()
+
+
+def hashed_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, where each text's begin and end): the lower-cased texts' longest runs of letters and digits."""
+    flat: list[int] = []
+    offsets = [0]
+    get = _hashes.__getitem__
+    for text in texts:
+        if text:
+            flat.extend(map(get, _WORD.findall(text.lower())))
+        offsets.append(len(flat))
+    return np.array(flat, np.uint64), np.array(offsets, np.int64)
+
+
+def classes_of(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A number for each text, the same for texts with the same words in the same order."""
+    n = np.diff(offsets)
+    place = np.arange(len(flat)) - np.repeat(offsets[:-1], n)
+    total = np.append(_U(0), np.cumsum(_mix(flat + (place.astype(_U) + _U(1)) * _GOLDEN)))
+    return _mix(total[offsets[1:]] - total[offsets[:-1]] + n.astype(_U)).view(np.int64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -47,17 +84,14 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def shingles_of(words: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of lists of word hashes: (row, shingle hash, times) of each different shingle, by row."""
-    offsets = words.offsets.to_numpy().astype(np.int64)
-    flat = words.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
-    flat, offsets = flat[offsets[0] : offsets[-1]], offsets - offsets[0]
+def shingles_of(flat: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, shingle hash, times) of each different shingle, by text."""
     n = np.maximum(np.diff(offsets) - width + 1, 0)
     row = np.repeat(np.arange(len(n)), n)
     first = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[:-1], n)
     value = np.zeros(len(row), np.uint64)
     for i in range(width):
-        value = _mix(value * _U(0x9E3779B97F4A7C15) + flat[first + i])
+        value = _mix(value * _GOLDEN + flat[first + i])
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
     new = np.ones(len(row), bool)
@@ -93,80 +127,108 @@ def sketch(row: np.ndarray, value: np.ndarray, weight: np.ndarray, pool, bands:
         least = np.minimum.reduceat(key, inside, axis=0)
         owner = np.repeat(np.arange(j - i), ends[i:j] - starts[i:j])
         hit, k = np.nonzero(key == least[owner])
-        picked[owner[hit] + i, k] = _mix(value[a:b][hit] + step[hit, k].astype(np.int64).view(np.uint64) * _U(0x9E3779B97F4A7C15))
+        picked[owner[hit] + i, k] = _mix(value[a:b][hit] + step[hit, k].astype(np.int64).view(_U) * _GOLDEN)
         i = j
     rows = samples // bands
     numbers = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(starts), 1))
     for k in range(rows):
-        numbers = _mix(numbers * _U(0x9E3779B97F4A7C15) + picked[:, k::rows])
+        numbers = _mix(numbers * _GOLDEN + picked[:, k::rows])
     return row[starts], numbers
 
 
-def _prepared(df: DataFrame, key: str, text: str) -> DataFrame:
-    """__key, __class, __words (hashes): the rows whose key and text aren't null."""
-    words = df.select(F.col(key).alias("__key"), words_of(F.col(text)).alias("__norm")).filter("__key is not null and __norm <> ''")
-    return words.select("__key", F.xxhash64("__norm").alias("__class"), F.transform(F.split("__norm", " "), lambda w: F.xxhash64(w)).alias("__words"))
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for begin in range(0, batch.num_rows, BATCH):
+            yield batch.slice(begin, BATCH)
 
 
-def document_frequencies(prepared: DataFrame, width: int, df_buckets: int) -> tuple[np.ndarray, int]:
-    """(hashed document frequencies, number of rows with shingles) over all rows."""
+def first_pass(rows: DataFrame, width: int, df_buckets: int) -> DataFrame:
+    """__key and __class of every row with ``width`` words, and each task's document frequencies by block of counters."""
+    names = ["__key", "__class", "__block", "__counts"]
+    kind = rows.schema[0].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = np.zeros(df_buckets, np.int64), 0
-        for batch in batches:
-            row, value, _ = shingles_of(batch.column(0), width)
+        counts, n = np.zeros(df_buckets, np.int64), 0
+        key_type = None
+        for batch in _batches(batches):
+            flat, offsets = hashed_words(batch.column(1).to_pylist())
+            key_type = batch.column(0).type
+            long = np.flatnonzero(np.diff(offsets) >= width)
+            n += len(long)
+            _, value, _ = shingles_of(flat, offsets, width)
             counts += np.bincount((value & _U(df_buckets - 1)).astype(np.int64), minlength=df_buckets)
-            rows += len(np.unique(row))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(counts[at], rows))], names=["bucket", "n"])
+            keys = batch.column(0).take(pa.array(long))
+            empty = pa.nulls(len(long), pa.int32()), pa.nulls(len(long), pa.binary())
+            yield pa.RecordBatch.from_arrays([keys, pa.array(classes_of(flat, offsets)[long]), *empty], names=names)
+        if key_type is not None:
+            cells = [zlib.compress(counts[i : i + COUNTS].tobytes(), 1) for i in range(0, df_buckets, COUNTS)]
+            cells.append(zlib.compress(np.array([n]).tobytes(), 1))
+            none = pa.nulls(len(cells), key_type), pa.nulls(len(cells), pa.int64())
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(cells)), pa.int32()), pa.array(cells, pa.binary())], names=names)
+
+    return rows.mapInArrow(run, f"__key {kind.simpleString()}, __class bigint, __block int, __counts binary")
+
+
+def document_frequencies(first: DataFrame, df_buckets: int) -> tuple[np.ndarray, int]:
+    """(hashed document frequencies, number of rows with shingles): the tasks' tables added up, block by block."""
+
+    def add(cells: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in cells["__counts"])
+        return pd.DataFrame({"__block": [cells["__block"].iloc[0]], "__counts": [total.tobytes()]})
 
-    got = prepared.select("__words").mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    table = np.zeros(df_buckets + 1, np.int64)
-    table[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return table[:-1], int(table[-1])
+    got = first.filter("__block is not null").select("__block", "__counts").groupBy("__block").applyInPandas(add, "__block int, __counts binary")
+    blocks = {r["__block"]: np.frombuffer(r["__counts"], np.int64) for r in got.collect()}
+    if not blocks:
+        return np.zeros(df_buckets, np.int64), 0
+    *tables, n = (blocks[i] for i in range(len(blocks)))
+    return np.concatenate(tables), int(n[0])
 
 
-def _band_numbers(prepared: DataFrame, width: int, bands: int, rows: int, df_buckets: int, seed: int) -> DataFrame:
-    table, n = document_frequencies(prepared, width, df_buckets)
+def band_numbers(rows: DataFrame, first: DataFrame, width: int, bands: int, per_band: int, df_buckets: int, seed: int) -> DataFrame:
+    table, n = document_frequencies(first, df_buckets)
     idf = np.log((n + 1) / (table + 1.0)).astype(np.float32) + np.float32(0.05)
-    shared = prepared.sparkSession.sparkContext.broadcast(idf)  # df_buckets numbers
+    shared = rows.sparkSession.sparkContext.broadcast(idf)  # df_buckets numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool, known = _pool(bands * rows, seed), np.zeros(0, np.int64)
-        weights = shared.value
-        for batch in batches:
-            classes = batch.column(0).to_numpy()
-            _, first = np.unique(classes, return_index=True)
-            first = np.sort(first[~np.isin(classes[first], known)])
-            if not len(first):
+        pool, known, weights = _pool(bands * per_band, seed), set(), shared.value
+        for batch in _batches(batches):
+            flat, offsets = hashed_words(batch.column(1).to_pylist())
+            classes = classes_of(flat, offsets)
+            new = []
+            for i in np.flatnonzero(np.diff(offsets) >= width).tolist():
+                if classes[i] not in known:
+                    known.add(classes[i])
+                    new.append(i)
+            if len(known) > 1_000_000:  # a class that is sketched again falls away in the next step
+                known.clear()
+            if not new:
                 continue
-            known = np.union1d(known, classes[first])[-(1 << 20) :]  # copies are only left to a later step if forgotten here
-            row, value, times = shingles_of(batch.column(1).take(pa.array(first)), width)
+            owner, value, times = shingles_of(flat, offsets, width)
+            wanted = np.zeros(len(classes), bool)
+            wanted[new] = True
+            owner, value, times = (x[wanted[owner]] for x in (owner, value, times))
             weight = (1 + np.log(times)) * weights[(value & _U(df_buckets - 1)).astype(np.int64)]
-            at, numbers = sketch(row, value, weight, pool, bands)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(numbers.ravel().view(np.int64)), pa.array(np.repeat(classes[first][at], bands))], names=["__band", "__class"]
-            )
+            at, numbers = sketch(owner, value, weight, pool, bands)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers.ravel().view(np.int64)), pa.array(np.repeat(classes[at], bands))], names=["__band", "__class"])
 
-    return prepared.select("__class", "__words").mapInArrow(run, "__band bigint, __class bigint")
+    return rows.mapInArrow(run, "__band bigint, __class bigint")
 
 
-def candidate_pairs(prepared: DataFrame, width: int, bands: int, rows: int, df_buckets: int, seed: int) -> DataFrame:
+def candidate_pairs(numbers: DataFrame) -> DataFrame:
     """__a, __b: different classes that share a band number, each pair once."""
-    numbers = _band_numbers(prepared, width, bands, rows, df_buckets, seed).repartition("__band").distinct()
+    numbers = numbers.repartition("__band").distinct()
     left = numbers.withColumnRenamed("__class", "__a")
     right = numbers.withColumnRenamed("__class", "__b")
     return left.join(right, "__band").filter("__a < __b").select("__a", "__b").distinct()
 
 
 def overlaps(pairs: DataFrame, width: int) -> DataFrame:
-    """Of __a, __b, __words_a, __words_b: __a, __b, __similarity of the sets of shingles."""
+    """Of __a, __b, __text_a, __text_b: __a, __b, __similarity of the sets of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sides = [shingles_of(batch.column(i), width)[:2] for i in (2, 3)]
-            row = np.concatenate([x[0] for x in sides])
-            value = np.concatenate([x[1] for x in sides])
+        for batch in _batches(batches):
+            sides = [shingles_of(*hashed_words(batch.column(i).to_pylist()), width)[:2] for i in (2, 3)]
+            row, value = (np.concatenate(x) for x in zip(*sides, strict=True))
             order = np.lexsort((value, row))
             row, value = row[order], value[order]
             same = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
@@ -174,31 +236,30 @@ def overlaps(pairs: DataFrame, width: int) -> DataFrame:
             total = np.bincount(row, minlength=batch.num_rows) - common
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common / np.maximum(total, 1))], names=["__a", "__b", "__similarity"])
 
-    return pairs.select("__a", "__b", "__words_a", "__words_b").mapInArrow(run, "__a bigint, __b bigint, __similarity double")
+    return pairs.select("__a", "__b", "__text_a", "__text_b").mapInArrow(run, "__a bigint, __b bigint, __similarity double")
 
 
 def near_copies(
     df: DataFrame, key: str = "chunk_ord", text: str = "text", threshold: float = 0.7, width: int = 3,
-    bands: int = 20, rows: int = 3, df_buckets: int = 1 << 18, seed: int = 7,
+    bands: int = 24, per_band: int = 4, df_buckets: int = 1 << 18, seed: int = 7,
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): verified pairs of classes and every row's class.
 
     ``pairs`` has class_a, class_b (a < b) and similarity, at least ``threshold``; ``members``
     has ``key`` and class of every row with at least ``width`` words. Rows of one class have
-    equal words and so similarity 1. Null, empty and shorter texts are in no class; an empty
-    table gives two empty tables; other columns of ``df`` are left out.
+    equal words and so similarity 1. Null, empty and shorter texts and rows without a key are
+    in no class; an empty table gives two empty tables; other columns of ``df`` are left out.
     """
-    prepared = _prepared(df, key, text).filter(F.size("__words") >= width)
-    pairs = cut(candidate_pairs(prepared, width, bands, rows, df_buckets, seed))
-    members = cut(prepared.select("__key", "__class"))
+    rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).filter("__key is not null and __text is not null")
+    first = cut(first_pass(rows, width, df_buckets))
+    members = first.filter("__class is not null").select("__key", "__class")
+    pairs = cut(candidate_pairs(band_numbers(rows, first, width, bands, per_band, df_buckets, seed)))
     involved = pairs.select(F.explode(F.array("__a", "__b")).alias("__class")).distinct()
     speaker = members.join(involved, "__class").groupBy("__class").agg(F.min("__key").alias("__key"))
-    texts = df.select(F.col(key).alias("__key"), words_of(F.col(text)).alias("__norm")).join(speaker, "__key").select("__class", "__norm")
-    texts = texts.repartition("__class")
-    both = pairs.join(texts.select(F.col("__class").alias("__a"), F.col("__norm").alias("__norm_a")), "__a")
-    both = both.join(texts.select(F.col("__class").alias("__b"), F.col("__norm").alias("__norm_b")), "__b")
-    hashed = [F.transform(F.split(f"__norm_{x}", " "), lambda w: F.xxhash64(w)).alias(f"__words_{x}") for x in "ab"]
-    found = overlaps(both.select("__a", "__b", *hashed), width).filter(F.col("__similarity") >= threshold)
+    texts = cut(rows.join(speaker, "__key").select("__class", "__text").dropDuplicates(["__class"]))
+    both = pairs.join(texts.select(F.col("__class").alias("__a"), F.col("__text").alias("__text_a")), "__a")
+    both = both.join(texts.select(F.col("__class").alias("__b"), F.col("__text").alias("__text_b")), "__b")
+    found = overlaps(both, width).filter(F.col("__similarity") >= threshold)
     return (
         found.select(F.col("__a").alias("class_a"), F.col("__b").alias("class_b"), F.col("__similarity").alias("similarity")),
         members.select(F.col("__key").alias(key), F.col("__class").alias("class")),
