@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from skerry.functions.text import search_tokens
 from skerry.operators.lexical import K1, B
+from skerry.session import cut
 
 BLOCK = 2048
 ROWS = 1024
@@ -113,7 +114,7 @@ def _statistics(chunks: DataFrame, queries: DataFrame, text: str) -> tuple[dict[
 
 
 def search(
-    queries: DataFrame, chunks: DataFrame, k: int = 5, alpha: float = 0.7, per_doc: int = 2, hybrid: bool = True,
+    queries: DataFrame, chunks: DataFrame, k: int = 5, alpha: float = 0.7, per_doc: int = 2, hybrid: bool = True, lexical_only: bool = False,
     key: str = "chunk_ord", doc: str = "doc_id", text: str = "text", vector: str = "embedding", block: int = BLOCK,
 ) -> DataFrame:
     """query_id, rank (from 1), chunk_ord, doc_id, score (6 digits) of each query's best chunks.
@@ -121,29 +122,32 @@ def search(
     ``queries`` has query_id, text and vector. Fused scores are ``alpha`` times the dense and
     the rest times the lexical score, both scaled by the query's minimum and maximum over all
     chunks; with ``alpha`` 0 or 1 or without ``hybrid`` they are the dense scores alone. Ties
-    go to the lower key. Null vectors and those of another dimension score 0, null texts are empty.
+    go to the lower key. With ``lexical_only`` the score is the lexical one, and chunks that
+    share no term with the query are no hits. Null vectors and those of another dimension score 0, null texts are empty.
     """
-    fused = hybrid and 0 < alpha < 1
+    mode = "lexical" if lexical_only else "fused" if hybrid and 0 < alpha < 1 else "dense"
     rows = queries.select("query_id", "text", "vector").orderBy("query_id")
     n = rows.count()
     got = []
     for begin in range(0, max(n, 1), block):
         part = rows.offset(begin).limit(block)
-        got.append(_search_block(part, chunks, pool_size(k, per_doc), alpha, fused, key, doc, text, vector))
+        got.append(_search_block(part, chunks, pool_size(k, per_doc), alpha, mode, key, doc, text, vector))
     return diverse(reduce(DataFrame.unionByName, got), k, per_doc)
 
 
-def _search_block(part: DataFrame, chunks: DataFrame, pool: int, alpha: float, fused: bool, key: str, doc: str, text: str, vector: str) -> DataFrame:
+def _search_block(part: DataFrame, chunks: DataFrame, pool: int, alpha: float, mode: str, key: str, doc: str, text: str, vector: str) -> DataFrame:
     session, listed = chunks.sparkSession, part.collect()
-    idf, avgdl = _statistics(chunks, part, text) if fused else ({}, 0.0)
+    fused, words = mode == "fused", mode != "dense"
+    idf, avgdl = _statistics(chunks, part, text) if words else ({}, 0.0)
     queries = _Block([r["query_id"] for r in listed], [r["vector"] for r in listed], [r["text"] for r in listed], idf, avgdl)
     shared = session.sparkContext.broadcast(queries)  # at most ``block`` queries
-    columns = [F.col(key).alias("chunk_ord"), F.col(doc).alias("doc_id"), F.col(vector).alias("__v"), *([F.col(text).alias("__t")] if fused else [])]
+    columns = [F.col(key).alias("chunk_ord"), F.col(doc).alias("doc_id"), F.col(vector).alias("__v"), *([F.col(text).alias("__t")] if words else [])]
     source = chunks.select(*columns)
 
     def scored(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray | None]:
         q = shared.value
-        return q.dense(batch.column(2).to_pylist()), q.lexical(batch.column(3).to_pylist()) if fused else None
+        lexical = q.lexical(batch.column(3).to_pylist()) if words else None
+        return q.dense(batch.column(2).to_pylist()) if mode != "lexical" else lexical, lexical
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,6 +174,8 @@ def _search_block(part: DataFrame, chunks: DataFrame, pool: int, alpha: float, f
         docs: dict[int, str] = {}
         for batch in pieces(batches):
             dense, lexical = scored(batch)
+            if mode == "lexical":
+                dense = np.where(dense > 0, dense, -np.inf)
             if fused:
                 dense = alpha * _scaled(dense, limits[0], limits[2]) + (1 - alpha) * _scaled(lexical, limits[1], limits[3])
             score = np.concatenate([top_s, np.round(dense, 6)], axis=1)
@@ -181,9 +187,10 @@ def _search_block(part: DataFrame, chunks: DataFrame, pool: int, alpha: float, f
             docs.update(zip(chunk.tolist(), batch.column(1).to_pylist(), strict=True))
             docs = {c: docs[c] for c in kept}
         if top_c.size:
-            flat = top_c.ravel()
-            names = [x for x in ids for _ in range(top_c.shape[1])]
-            yield pa.RecordBatch.from_arrays([pa.array(names, id_type), pa.array(flat), pa.array([docs[c] for c in flat.tolist()], doc_type), pa.array(top_s.ravel())], names=["query_id", "chunk_ord", "doc_id", "score"])
+            who, at = np.nonzero(np.isfinite(top_s))
+            flat = top_c[who, at]
+            names = pa.array([ids[i] for i in who], id_type)
+            yield pa.RecordBatch.from_arrays([names, pa.array(flat), pa.array([docs[c] for c in flat.tolist()], doc_type), pa.array(top_s[who, at])], names=["query_id", "chunk_ord", "doc_id", "score"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -220,9 +227,9 @@ def minmax(scores: DataFrame, group: list[str], score: str) -> DataFrame:
 def rerank_candidates(queries: DataFrame, chunks: DataFrame, k: int = 5, alpha: float = 0.7, per_doc: int = 2, key: str = "chunk_ord", doc: str = "doc_id", text: str = "text", vector: str = "embedding") -> DataFrame:
     """As ``search``, but the lexical score is computed among each query's dense candidates alone, and scaled within them."""
     pool = pool_size(k, max(per_doc, 1))
-    dense = search(queries, chunks, pool, alpha, 0, hybrid=False, key=key, doc=doc, text=text, vector=vector)
+    dense = cut(search(queries, chunks, pool, alpha, 0, hybrid=False, key=key, doc=doc, text=text, vector=vector))
     texts = chunks.select(F.col(key).alias("chunk_ord"), F.col(text).alias("__t")).join(dense.select("chunk_ord").distinct(), "chunk_ord")
-    tokens = dense.join(texts, "chunk_ord").select("query_id", "chunk_ord", "doc_id", "score", search_tokens(F.coalesce("__t", F.lit(""))).alias("__tokens"))
+    tokens = cut(dense.join(texts, "chunk_ord").select("query_id", "chunk_ord", "doc_id", "score", search_tokens(F.coalesce("__t", F.lit(""))).alias("__tokens")))
     stats = tokens.groupBy("query_id").agg(F.count("*").alias("__n"), F.avg(F.size("__tokens")).alias("__avgdl"))
     tf = tokens.select("query_id", "chunk_ord", F.size("__tokens").alias("__dl"), F.explode("__tokens").alias("term")).groupBy("query_id", "chunk_ord", "__dl", "term").agg(F.count("*").alias("__tf"))
     wanted = queries.select("query_id", F.explode(search_tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("__qtf"))

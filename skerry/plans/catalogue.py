@@ -27,7 +27,7 @@ def _queries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, folder: str, **options) -> DataFrame:
-    return search.search(_queries(spark, folder), table(spark, folder, "chunks"), **options)
+    return search.search(_queries(spark, folder), table(spark, folder, "chunks", wide=True), **options)
 
 
 def _hits_with_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,23 +40,24 @@ def tokenize_counts(spark, folder):
 
 
 def term_df(spark, folder):
-    return lexical.build(table(spark, folder, "chunks")).terms
+    return lexical.build(table(spark, folder, "chunks", wide=True)).terms
 
 
 def bm25_stats(spark, folder):
-    return lexical.build(table(spark, folder, "chunks")).stats.select("n_chunks", F.round("avgdl", 6).alias("avgdl"))
+    return lexical.build(table(spark, folder, "chunks", wide=True)).stats.select("n_chunks", F.round("avgdl", 6).alias("avgdl"))
 
 
 def bm25_scores(spark, folder):
     asked = table(spark, folder, "eval_questions")
-    index = lexical.build(table(spark, folder, "chunks"), only=lexical.query_terms(asked, "id"))
+    index = lexical.build(table(spark, folder, "chunks", wide=True), only=lexical.query_terms(asked, "id"))
     scores = lexical.bm25(index, asked, "id")
     return scores.select("query_id", F.col("chunk").alias("chunk_ord"), F.round("score", 6).alias("score"))
 
 
 def bm25_topk(spark, folder):
-    scores = bm25_scores(spark, folder).withColumn("doc_id", F.lit(""))
-    return search.ranked(scores, 5).select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_ord", "score")
+    asked = table(spark, folder, "eval_questions").select(F.col("id").alias("query_id"), F.col("question").alias("text"), F.lit(None).cast("array<float>").alias("vector"))
+    hits = search.search(asked, table(spark, folder, "chunks", wide=True), per_doc=0, lexical_only=True)
+    return hits.select("query_id", "rank", "chunk_ord", "score")
 
 
 def l2_normalise(spark, folder):
@@ -91,11 +92,11 @@ def hybrid_topk_diverse(spark, folder):
 
 
 def candidate_rerank(spark, folder):
-    return search.rerank_candidates(_queries(spark, folder), table(spark, folder, "chunks"))
+    return search.rerank_candidates(_queries(spark, folder), table(spark, folder, "chunks", wide=True))
 
 
 def split_sections(spark, folder):
-    rows = table(spark, folder, "chunks").select("chunk_ord", F.posexplode(chunk.sections(F.concat(F.lit("# "), F.col("text")))).alias("pos", "s"))
+    rows = table(spark, folder, "chunks", wide=True).select("chunk_ord", F.posexplode(chunk.sections(F.concat(F.lit("# "), F.col("text")))).alias("pos", "s"))
     return rows.select("chunk_ord", F.col("pos").cast("bigint").alias("pos"), F.col("s.section").alias("section"), F.length("s.body").cast("bigint").alias("n_chars"), F.md5("s.body").alias("body_md5"))
 
 
@@ -105,7 +106,7 @@ def split_paragraphs(spark, folder):
 
 
 def _chunked(spark, folder, most, overlap):
-    rows = chunk.chunk_documents(table(spark, folder, "documents"), most, overlap)
+    rows = chunk.chunk_documents(table(spark, folder, "documents", wide=True), most, overlap)
     return rows.select("doc_id", "chunk_id", "section", F.length("text").cast("bigint").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
@@ -118,7 +119,7 @@ def chunk_documents_small(spark, folder):
 
 
 def chunk_counts(spark, folder):
-    return chunk.chunk_documents(table(spark, folder, "documents")).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
+    return chunk.chunk_documents(table(spark, folder, "documents", wide=True)).groupBy("doc_id").agg(F.count("*").alias("n_chunks"))
 
 
 def front_matter_parse(spark, folder):
@@ -153,7 +154,7 @@ def _pages(spark, folder):
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda line: F.concat(F.lit("<p>"), escaped(line), F.lit("</p>")))
     box = F.concat(F.lit('<table class="infobox"><tr><th>Real  Name:</th><td>'), escaped(F.col("source")), F.lit("<br/>"), escaped(F.col("lang")), F.lit("<sup>[1]</sup></td></tr><tr><th>Colour</th><td>red</td></tr></table>"))
     page = F.concat(F.lit("<div class='toc'><p>skip</p></div><script>x()</script>"), box, F.lit("<h5>Title [1]</h5>"), F.array_join(lines, "\n"), F.lit("<h2>References</h2><p>gone</p>"))
-    return table(spark, folder, "documents").select("doc_id", page.alias("html"))
+    return table(spark, folder, "documents", wide=True).select("doc_id", page.alias("html"))
 
 
 def html_markdown(spark, folder):
@@ -241,7 +242,7 @@ def hit_sources(spark, folder):
 
 def needs_fallback(spark, folder):
     asked = table(spark, folder, "eval_questions").withColumnRenamed("id", "query_id")
-    scores = lexical.bm25(lexical.build(table(spark, folder, "chunks"), only=lexical.query_terms(asked)), asked)
+    scores = lexical.bm25(lexical.build(table(spark, folder, "chunks", wide=True), only=lexical.query_terms(asked)), asked)
     rows = fallback.needs_fallback(asked, scores.withColumn("score", F.round("score", 6)), 12.0)
     return rows
 

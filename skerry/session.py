@@ -7,9 +7,16 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The Parquet table ``name`` of ``folder``; only the columns a plan uses are read."""
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, wide: bool = False) -> DataFrame:
+    """The Parquet table ``name`` of ``folder``; only the columns a plan uses are read.
+
+    With ``wide``, for costly projections: rows are spread over all cores if the scan has far
+    fewer partitions than cores, as a table of one small file has. Tables of many files are
+    left as they are, so at scale nothing is shuffled.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if wide and df.rdd.getNumPartitions() <= cores // 2 else df
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
