@@ -17,6 +17,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skerry.session import cut
+
 BANDS = 1024
 BLOCK = 256
 
@@ -45,7 +47,7 @@ def ideal_point_ranking(
     * Equal items of one query rank by the item's id. Weights default to 1 for each scorer.
     * An empty table gives no rows; other columns are left out, so their names can't clash.
     """
-    rows = scores_of(hits, query, item, scorer, score)
+    rows = cut(scores_of(hits, query, item, scorer, score))
     real = rows.filter("__score is not null and __scorer is not null")
     weight = F.lit(1.0)
     for name, value in (weights or {}).items():
@@ -55,8 +57,8 @@ def ideal_point_ranking(
         F.percentile_approx("__score", F.lit(1 - winsor), F.lit(10_000)).alias("__high"),
     )
     span = F.expr("case when __high > __low then __high - __low else 1.0D end")
-    cut = F.greatest("__low", F.least("__high", "__score"))
-    moved = real.join(bounds, ["__query", "__scorer"]).withColumn("__x", cut - F.col("__low") + 0.1 * span)
+    clipped = F.greatest("__low", F.least("__high", "__score"))
+    moved = cut(real.join(bounds, ["__query", "__scorer"]).withColumn("__x", clipped - F.col("__low") + 0.1 * span))
     sides = moved.groupBy("__query", "__scorer").agg(
         F.sqrt(F.sum(F.col("__x") * F.col("__x"))).alias("__length"), F.max("__x").alias("__top"), F.count("*").alias("__n")
     )
@@ -110,8 +112,9 @@ def majority_winners(hits: DataFrame, query: str = "query_id", item: str = "chun
     no item of a query without a real score, wins by this definition if there are others.
     """
     ranking = ideal_point_ranking(hits, query, item, scorer, score)
-    real = scores_of(hits, query, item, scorer, score).filter("__score is not null and __scorer is not null")
-    n_scorers = real.select("__query", "__scorer").distinct().groupBy("__query").agg(F.count("*").alias("__k"))
+    ranking = cut(ranking.withColumn("by_scorer", F.map_entries("by_scorer"))).withColumn("by_scorer", F.map_from_entries("by_scorer"))
+    held = ranking.select(F.col(query).alias("__query"), F.explode(F.map_keys("by_scorer")).alias("__scorer")).distinct()
+    n_scorers = held.groupBy("__query").agg(F.count("*").alias("__k"))
     ranked = ranking.select(
         F.col(query).alias("__query"), F.col(item).alias("__item"), "rank",
         F.coalesce("by_scorer", F.expr("cast(map() as map<string,double>)")).alias("__by"),
