@@ -209,7 +209,7 @@ def verdicts(documents: DataFrame, labels: DataFrame, max_labelled: int) -> list
     votes = labels.filter("toxic is not null and doc_id is not null").select("doc_id", "toxic", "reviewer").distinct()
     votes = votes.groupBy("doc_id").agg(F.avg(F.col("toxic").cast("double")).alias("__share")).filter("__share <> 0.5")
     chosen = votes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = documents.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id").dropDuplicates(["doc_id"])
+    rows = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     return [(r["text"], int(r["__share"] > 0.5)) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
 
 

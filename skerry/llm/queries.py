@@ -19,29 +19,29 @@ from skerry.session import table
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return clean_markup(table(spark, folder, "chunks"), with_text=False).filter("has_markup").select("chunk_ord")
+    return clean_markup(table(spark, folder, "chunks", wide=True), with_text=False).filter("has_markup").select("chunk_ord")
 
 
 def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return clean_markup(table(spark, folder, "chunks"))
+    return clean_markup(table(spark, folder, "chunks", wide=True))
 
 
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = split_oversized(table(spark, folder, "chunks"), ["chunk_ord", "doc_id", "chunk_id", "section"])
+    pieces = split_oversized(table(spark, folder, "chunks", wide=True), ["chunk_ord", "doc_id", "chunk_id", "section"])
     return pieces.filter("n_pieces > 1")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = split_oversized(table(spark, folder, "chunks"), ["chunk_ord"])
+    pieces = split_oversized(table(spark, folder, "chunks", wide=True), ["chunk_ord"])
     return pieces.filter("boundary is not null and piece_no = 0").select("chunk_ord", "boundary")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return row_pairs(*near_copies(table(spark, folder, "chunks")))
+    return row_pairs(*near_copies(table(spark, folder, "chunks", wide=True)))
 
 
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return near_copy_groups(table(spark, folder, "chunks"))
+    return near_copy_groups(table(spark, folder, "chunks", wide=True))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -53,19 +53,19 @@ def p4_ranking(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return found_lines(table(spark, folder, "chunks"))
+    return found_lines(table(spark, folder, "chunks", wide=True))
 
 
 def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return without_repeated_lines(table(spark, folder, "chunks"))
+    return without_repeated_lines(table(spark, folder, "chunks", wide=True))
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
-    return encode_texts(table(spark, folder, "documents"))
+    return encode_texts(table(spark, folder, "documents", wide=True))
 
 
 def p7_pack(spark: SparkSession, folder: str) -> DataFrame:
-    return fill_containers(table(spark, folder, "documents"))
+    return fill_containers(table(spark, folder, "documents", wide=True))
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +73,7 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return score_documents(table(spark, folder, "documents", wide=True), table(spark, folder, "labels"))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
