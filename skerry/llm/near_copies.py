@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from skerry.session import cut
 
 POOL = 1 << 14
-BLOCK = 4096
+BLOCK = 1024
 BATCH = 2048
 COUNTS = 4096
 _U = np.uint64
@@ -116,18 +116,27 @@ def sketch(row: np.ndarray, value: np.ndarray, weight: np.ndarray, pool, bands:
     picked = np.empty((len(starts), samples), np.uint64)
     log_w = np.log(weight).astype(np.float32)[:, None]
     place = (value >> _U(40)).astype(np.int64) & (POOL - 1)
+    spare = np.empty((4, max(BLOCK, int((ends - starts).max(initial=0))), samples), np.float32)
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
         a, b = starts[i], ends[j - 1]
-        rr = r[place[a:b]]
-        step = np.floor(log_w[a:b] / rr + beta[place[a:b]])
-        key = c[place[a:b]] - rr * (step - beta[place[a:b]] + 1)
+        rr, step, shift, key = spare[:, : b - a]
+        for table, out in ((r, rr), (beta, shift), (c, key)):
+            np.take(table, place[a:b], axis=0, out=out, mode="clip")
+        np.divide(log_w[a:b], rr, out=step)
+        step += shift
+        np.floor(step, out=step)
+        np.subtract(step, shift, out=shift)
+        shift += 1
+        shift *= rr
+        key -= shift
         inside = starts[i:j] - a
         least = np.minimum.reduceat(key, inside, axis=0)
-        owner = np.repeat(np.arange(j - i), ends[i:j] - starts[i:j])
-        hit, k = np.nonzero(key == least[owner])
-        picked[owner[hit] + i, k] = _mix(value[a:b][hit] + step[hit, k].astype(np.int64).view(_U) * _GOLDEN)
+        np.take(least, np.repeat(np.arange(j - i), ends[i:j] - starts[i:j]), axis=0, out=rr, mode="clip")
+        hit, k = np.nonzero(key == rr)
+        owner = np.searchsorted(inside, hit, "right") - 1
+        picked[owner + i, k] = _mix(value[a:b][hit] + step[hit, k].astype(np.int64).view(_U) * _GOLDEN)
         i = j
     rows = samples // bands
     numbers = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(starts), 1))
@@ -185,8 +194,14 @@ def document_frequencies(first: DataFrame, df_buckets: int) -> tuple[np.ndarray,
 
 
 def band_numbers(rows: DataFrame, first: DataFrame, width: int, bands: int, per_band: int, df_buckets: int, seed: int) -> DataFrame:
+    """__band, __class and __n (different shingles) of each class that a task meets, for each band.
+
+    A shingle weighs 1 plus its share of the highest possible inverse document frequency, so
+    at most twice as much as another: else the shingles of a text that fills a third of the
+    table would weigh next to nothing against a small edit.
+    """
     table, n = document_frequencies(first, df_buckets)
-    idf = np.log((n + 1) / (table + 1.0)).astype(np.float32) + np.float32(0.05)
+    idf = (1 + np.log((n + 1) / (table + 1.0)) / np.log(n + 2)).astype(np.float32)
     shared = rows.sparkSession.sparkContext.broadcast(idf)  # df_buckets numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,17 +224,23 @@ def band_numbers(rows: DataFrame, first: DataFrame, width: int, bands: int, per_
             owner, value, times = (x[wanted[owner]] for x in (owner, value, times))
             weight = (1 + np.log(times)) * weights[(value & _U(df_buckets - 1)).astype(np.int64)]
             at, numbers = sketch(owner, value, weight, pool, bands)
-            yield pa.RecordBatch.from_arrays([pa.array(numbers.ravel().view(np.int64)), pa.array(np.repeat(classes[at], bands))], names=["__band", "__class"])
+            sizes = np.bincount(owner, minlength=len(classes)).astype(np.int32)
+            columns = [numbers.ravel().view(np.int64), np.repeat(classes[at], bands), np.repeat(sizes[at], bands)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["__band", "__class", "__n"])
 
-    return rows.mapInArrow(run, "__band bigint, __class bigint")
+    return rows.mapInArrow(run, "__band bigint, __class bigint, __n int")
 
 
-def candidate_pairs(numbers: DataFrame) -> DataFrame:
-    """__a, __b: different classes that share a band number, each pair once."""
+def candidate_pairs(numbers: DataFrame, threshold: float) -> DataFrame:
+    """__a, __b: different classes that share a band number, each pair once.
+
+    Sets whose sizes alone rule the similarity out are no pair.
+    """
     numbers = numbers.repartition("__band").distinct()
-    left = numbers.withColumnRenamed("__class", "__a")
-    right = numbers.withColumnRenamed("__class", "__b")
-    return left.join(right, "__band").filter("__a < __b").select("__a", "__b").distinct()
+    left = numbers.select("__band", F.col("__class").alias("__a"), F.col("__n").alias("__n_a"))
+    right = numbers.select("__band", F.col("__class").alias("__b"), F.col("__n").alias("__n_b"))
+    near = F.least("__n_a", "__n_b") >= F.greatest("__n_a", "__n_b") * threshold - 1e-6
+    return left.join(right, "__band").filter((F.col("__a") < F.col("__b")) & near).select("__a", "__b").distinct()
 
 
 def overlaps(pairs: DataFrame, width: int) -> DataFrame:
@@ -253,7 +274,7 @@ def near_copies(
     rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).filter("__key is not null and __text is not null")
     first = cut(first_pass(rows, width, df_buckets))
     members = first.filter("__class is not null").select("__key", "__class")
-    pairs = cut(candidate_pairs(band_numbers(rows, first, width, bands, per_band, df_buckets, seed)))
+    pairs = cut(candidate_pairs(band_numbers(rows, first, width, bands, per_band, df_buckets, seed), threshold))
     involved = pairs.select(F.explode(F.array("__a", "__b")).alias("__class")).distinct()
     speaker = members.join(involved, "__class").groupBy("__class").agg(F.min("__key").alias("__key"))
     texts = cut(rows.join(speaker, "__key").select("__class", "__text").dropDuplicates(["__class"]))
