@@ -27,14 +27,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BITS = 20
+LONG, WINDOW = 24, 16
 
 #: Letters of other scripts and signs that stand in for Latin letters.
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһ", "aeopcyxijsdh")
 _LEET = str.maketrans("013457@$!|", "oieastasii")
 _UNSEEN = re.compile(r"[\u0000-\u0008\u000b\u000c\u000e-\u001f\u007f-\u009f­​-‏‪-‮⁠-⁤﻿]")
-_SPELT = re.compile(r"(?<![^\W_])[^\W\d_@$](?:[.\-_*·+ ][^\W_]){3,}(?![^\W_])|(?<![^\W_])[^\W_@$](?:[.\-_·][^\W_]){2,}(?![^\W_])")
-_MASKED = re.compile(r"([^\W\d_]{1,3})[*#%]{1,}([^\W\d_]{0,3})")
-_MIXED = re.compile(r"(?=[\w@$!|]*[^\W\d_])(?=[\w@$!|]*[\d@$!|])[\w@$!|]*[\w@$]")
+_SPELT = re.compile(r"(?<![^\W_])[^\W\d_](?:([.\-_*·+])[\w@$])(?:\1[\w@$])+(?![^\W_])|(?<![^\W_])[^\W\d_](?: [^\W\d_]){3,}(?![^\W_])")
+_MASKED = re.compile(r"(?<=[^\W\d_])[*#%]+")
+_LEETY = re.compile(r"(?<=[^\W\d_])[\d@$!|]+(?=[^\W\d_])|(?<!\S)[@$](?=[^\W\d_])|(?<=[^\W\d_])\$")
+_NUMBERED = re.compile(r"\d+[a-z]{1,2}|[a-z]\d+\w?")
+_EDGES = ".,;:?\"'()[]<>"
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
 _ENDS = re.compile(r"[.!?…。！？]+(?=\s|$|[\"'»”)])|\n+")
 _WORD = re.compile(r"[^\W_]+(?:\*[^\W_]*)?")
@@ -58,6 +61,24 @@ SEED_NEGATIVE = (
 )
 
 
+def _unleet(text: str) -> str:
+    """Words with digits and signs inside, which are few, are read as letters."""
+    out, done = [], 0
+    for match in _LEETY.finditer(text):
+        if match.start() < done:
+            continue
+        start, end = match.start(), match.end()
+        while start > done and not text[start - 1].isspace() and text[start - 1] not in _EDGES:
+            start -= 1
+        while end < len(text) and not text[end].isspace() and text[end] not in _EDGES:
+            end += 1
+        word = text[start:end]
+        out.append(text[done:start])
+        out.append(word if _NUMBERED.fullmatch(word) else word.translate(_LEET))
+        done = end
+    return "".join([*out, text[done:]]) if out else text
+
+
 def plain_words(text: str) -> str:
     """A text in lower case without accents, invisible signs, spelt-out and leet spellings."""
     if "Ã" in text or "â€" in text:
@@ -73,18 +94,25 @@ def plain_words(text: str) -> str:
     if not text.isascii():
         text = text.translate(_LOOKALIKE)
     text = _SPELT.sub(lambda m: re.sub(r"[^\w@$]|_", "", m[0]), text)
-    text = _MIXED.sub(lambda m: m[0] if m[0].isdigit() or m[0].rstrip("!|").isalpha() or re.fullmatch(r"\d+[a-z]{1,2}|[a-z]\d+|#?\d+\w?", m[0]) else m[0].translate(_LEET), text)
-    text = _MASKED.sub(r"\1*\2", text)
+    text = _unleet(text)
+    text = _MASKED.sub("*", text)
     return _REPEAT.sub(r"\1", text)
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence; a number is the word ``0``, a masked one keeps its ends."""
+    """The words of each sentence; a number is the word ``0``, a masked one keeps its ends.
+
+    A sentence of more than ``LONG`` words may be several without stops between them, so it
+    is read in windows of ``WINDOW`` words that overlap by half.
+    """
     out = []
     for part in _ENDS.split(plain_words(text)):
-        words = _WORD.findall(part)
-        if words:
-            out.append(["0" if w.isdigit() else w for w in words])
+        words = ["0" if w.isdigit() else w for w in _WORD.findall(part)]
+        if len(words) <= LONG:
+            if words:
+                out.append(words)
+        else:
+            out += [words[i : i + WINDOW] for i in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
     return out
 
 
@@ -127,7 +155,7 @@ def _fold(x: np.ndarray, kind: int) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal logistic regression; ``weights`` has the sparse solution."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 0.15, beta: float = 1.0, l1: float = 0.6, l2: float = 0.5):
+    def __init__(self, bits: int = BITS, alpha: float = 0.15, beta: float = 1.0, l1: float = 0.8, l2: float = 0.5):
         self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.z0 = self.n0 = 0.0
