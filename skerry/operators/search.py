@@ -104,6 +104,26 @@ def _scaled(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return np.where(flat[:, None], 0.0, (x - low[:, None]) / np.where(flat, 1.0, span)[:, None])
 
 
+def _top(top_s: np.ndarray, top_c: np.ndarray, score: np.ndarray, chunk: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``pool`` of each row's scores so far and its new ones; ties go to the lower chunk.
+
+    A linear partition finds each row's last score that may stay, and only what reaches it is sorted.
+    """
+    score = np.concatenate([top_s, score], axis=1)
+    which = np.concatenate([top_c, np.broadcast_to(chunk, (len(score), len(chunk)))], axis=1)
+    n = min(pool, score.shape[1])
+    last = np.partition(score, -n, axis=1)[:, -n]
+    row, at = np.nonzero((score >= last[:, None]) & (score > -np.inf))
+    s, c = score[row, at], which[row, at]
+    order = np.lexsort((c, -s, row))
+    row, s, c = row[order], s[order], c[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    stay = place < pool
+    out_s, out_c = np.full((len(score), n), -np.inf), np.zeros((len(score), n), np.int64)
+    out_s[row[stay], place[stay]], out_c[row[stay], place[stay]] = s[stay], c[stay]
+    return out_s, out_c
+
+
 def _statistics(chunks: DataFrame, queries: DataFrame, text: str) -> tuple[dict[str, float], float]:
     """(inverse document frequency of the block's terms, mean length) over all chunks."""
     terms = queries.select(F.explode(search_tokens(F.coalesce("text", F.lit("")))).alias("term")).distinct()
@@ -178,14 +198,10 @@ def _search_block(part: DataFrame, chunks: DataFrame, pool: int, alpha: float, m
                 dense = np.where(dense > 0, dense, -np.inf)
             if fused:
                 dense = alpha * _scaled(dense, limits[0], limits[2]) + (1 - alpha) * _scaled(lexical, limits[1], limits[3])
-            score = np.concatenate([top_s, np.round(dense, 6)], axis=1)
             chunk = batch.column(0).to_numpy()
-            which = np.concatenate([top_c, np.broadcast_to(chunk, (len(ids), len(chunk)))], axis=1)
-            order = np.lexsort((which, -score), axis=1)[:, :pool]
-            top_s, top_c = np.take_along_axis(score, order, 1), np.take_along_axis(which, order, 1)
-            kept = set(np.unique(top_c).tolist())
+            top_s, top_c = _top(top_s, top_c, np.round(dense, 6), chunk, pool)
             docs.update(zip(chunk.tolist(), batch.column(1).to_pylist(), strict=True))
-            docs = {c: docs[c] for c in kept}
+            docs = {c: docs[c] for c in np.unique(top_c[np.isfinite(top_s)]).tolist()}
         if top_c.size:
             who, at = np.nonzero(np.isfinite(top_s))
             flat = top_c[who, at]
