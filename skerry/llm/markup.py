@@ -267,6 +267,10 @@ def load(path: str | None = None) -> dict[str, np.ndarray]:
 
 _DROP = frozenset(("comment", "tag", "tag_cut", "wikilink", "strong", "quotes", "under", "strike", "template", "environment", "display", "magic", "rule", "wiki_table", "table_rule", "underline", "fence", "task"))
 _GLYPHS = {"ldots": "…", "dots": "…", "textendash": "–", "textemdash": "—", "item": "\n- ", "textbackslash": "\\", "par": "\n"}
+#: Commands whose arguments are no text of the sentence, and elements that are left out whole.
+_ASIDES = frozenset(("cite", "citep", "citet", "label", "ref", "pageref", "index", "marginpar", "footnote", "includegraphics", "vspace", "hspace", "usepackage", "documentclass"))
+_ELEMENTS = re.compile(r"<(ref|style|script)\b[^<>]*>.*?</\1>|<sup\s[^<>]*\bref[^<>]*>.*?</sup>|<ref\b[^<>]*/>", re.I)
+_ASIDE = re.compile("\2(?:\\[[^\\]]*\\])?(?:\\{[^{}]*\\})*")
 _MARKS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307"}
 _LAST = re.compile("\1(?:\\[[^\\]]*\\])?(?:\\{[^{}]*\\}(?=\\{))*\\{([^{}]*)\\}")
 
@@ -315,7 +319,8 @@ def _plain(line: str, signs: list[tuple[str, int, int]]) -> str:
             letter = re.sub(r"[\\{}]", "", sign[2:])
             out.append(letter + _MARKS[sign[1]])
         elif kind == "command":
-            out.append(_GLYPHS.get(sign[1:].rstrip("*"), "\1"))
+            name = sign[1:].rstrip("*")
+            out.append("\2" if name in _ASIDES else _GLYPHS.get(name, "\1"))
         elif kind == "escape":
             out.append(sign[1:] if sign != "\\\\" else "\n")
         elif kind == "tie":
@@ -325,6 +330,7 @@ def _plain(line: str, signs: list[tuple[str, int, int]]) -> str:
         else:
             out.append(sign)
     text = "".join([*out, line[at:]]).replace("\0", "")
+    text = _ASIDE.sub("", text) if "\2" in text else text
     while "\1" in text:  # a command keeps what its last argument says
         text, again = _LAST.sub(r"\1", text, count=1), text
         if text == again:
@@ -336,8 +342,8 @@ def _plain(line: str, signs: list[tuple[str, int, int]]) -> str:
 _TARGET = re.compile(r"\[\[(?:(?i:file|image|category):[^\]\n]*\]\]|[^\[\]|\n]*\|(?=[^\[\]\n]*\]\]))")
 
 
-def clean(text: str, found: list[Leaf], roles: np.ndarray, marked: np.ndarray) -> list[tuple[str, str]]:
-    """(role, text) of the leaves of a text, those that are ``marked`` without their markup.
+def clean(found: list[Leaf], roles: np.ndarray, marked: np.ndarray) -> list[tuple[str, str, int]]:
+    """(role, text, line number) of the leaves of a text, those that are ``marked`` without their markup.
 
     Code keeps its lines as they stand and formulas their source, both without the signs around them.
     """
@@ -346,26 +352,35 @@ def clean(text: str, found: list[Leaf], roles: np.ndarray, marked: np.ndarray) -
         name = ROLES[role]
         line = leaf.line
         if not dirty:
-            out.append((name if name in ("list", "heading") else "text", line))
+            out.append((name if name in ("list", "heading") else "text", line, leaf.number))
             continue
         kinds = {k for k, _, _ in leaf.signs}
+        if {"```", "pre"} & set(leaf.path):
+            name = "code"
         if "```" in leaf.path and "fence" not in kinds:
-            out.append(("code", line))
+            out.append((name, line, leaf.number))
         elif ("display" in kinds or "math" in leaf.path) and name == "formula":
-            out.append(("formula", re.sub(r"\$\$|\\[\[\]]", "", line).strip()))
+            out.append((name, re.sub(r"\$\$|\\[\[\]]", "", line).strip(), leaf.number))
         else:
-            if "wikilink" in kinds:
-                line = _TARGET.sub(lambda m: "" if m[0].endswith("]]") else "[[", line)
-                plain = _plain(line, scan(line))
-            else:
-                plain = _plain(line, leaf.signs)
+            kept = _ELEMENTS.sub(" ", line) if "tag" in kinds else line
+            kept = _TARGET.sub(lambda m: "" if m[0].endswith("]]") else "[[", kept) if "wikilink" in kinds else kept
+            plain = _plain(kept, leaf.signs if kept is line else scan(kept))
             for part in plain.split("\n"):
                 if part.strip():
                     kind = "list" if part.lstrip().startswith("- ") else name
-                    out.append((kind, re.sub(r"[ \t]+", " ", part).strip() if name != "code" else part))
+                    out.append((kind, part.rstrip() if kind == "code" else re.sub(r"[ \t]+", " ", part).strip(), leaf.number))
     return out
 
 
+def joined(blocks: list[tuple[str, str, int]]) -> str:
+    """The blocks as a text; where blank lines stood between them, one stands."""
+    out, last = [], None
+    for _, text, number in blocks:
+        out.append(("" if last is None else "\n\n" if number > last + 1 else "\n") + text)
+        last = number
+    return "".join(out)
+
+
 OUT = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
 
 
@@ -373,7 +388,7 @@ def clean_markup(df: DataFrame, key: str = "chunk_ord", text: str = "text", susp
     """``key``, has_markup, n_marked and, with ``with_text``, clean_text and blocks of every row.
 
     ``blocks`` lists the leaves in order with their roles; ``clean_text`` joins them by
-    newlines where the text has markup and is the text itself where it has none. Null texts
+    newlines and blank lines where the text has markup and is the text itself where it has none. Null texts
     give null and no blocks; repeated rows come out as often; other columns are left out.
     """
     fields = [T.StructField(key, df.schema[key].dataType), T.StructField("has_markup", T.BooleanType()), T.StructField("n_marked", T.LongType())]
@@ -400,9 +415,9 @@ def clean_markup(df: DataFrame, key: str = "chunk_ord", text: str = "text", susp
         n = [int(marked[e - k : e].sum()) for e, k in zip(ends, lengths, strict=True)]
         columns = [keys, pa.array([x > 0 for x in n]), pa.array(n, pa.int64())]
         if with_text:
-            blocks = [None if t is None else clean(t, f, roles[e - k : e], marked[e - k : e]) for t, f, e, k in zip(texts, found, ends, lengths, strict=True)]
-            columns.append(pa.array([t if t is None or not m else "\n".join(x for _, x in b) for t, m, b in zip(texts, n, blocks, strict=True)], pa.string()))
-            columns.append(pa.array([None if b is None else [{"role": r, "text": x} for r, x in b] for b in blocks], pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))))
+            blocks = [None if t is None else clean(f, roles[e - k : e], marked[e - k : e]) for t, f, e, k in zip(texts, found, ends, lengths, strict=True)]
+            columns.append(pa.array([t if t is None or not m else joined(b) for t, m, b in zip(texts, n, blocks, strict=True)], pa.string()))
+            columns.append(pa.array([None if b is None else [{"role": r, "text": x} for r, x, _ in b] for b in blocks], pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))))
         return pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,6 +23,8 @@ def read(spark, texts):
         ("He **ran** to `the dam` and ~~hid~~ [there](http://x.y/z).", "He ran to the dam and hid there."),
         ("He met [[Anna (Earth-2)|Anna]] and ''the'' '''crew'''.", "He met Anna and the crew."),
         ("He \\textit{ran} to the caf\\'{e} with \\href{http://x}{Anna} today.", "He ran to the cafe\u0301 with Anna today."),
+        ('He ran<ref name="x">Vol. 1</ref> home<sup class="ref"><a href="#c">3</a></sup>.', "He ran home ."),
+        ("He ran~\\cite{anna2001} home\\marginpar{After Anna, 2007.} and slept.", "He ran home and slept."),
     ],
 )
 def test_inline_markup_goes(spark, dirty, clean):
@@ -35,6 +37,7 @@ def test_structure_stays(spark):
     row = read(spark, [text])[0]
     said = [(b["role"], b["text"]) for b in row["blocks"]]
     assert ("heading", "Early Life") in said and ("list", "- One") in said and ("code", "roster = ['a']") in said
+    assert "\n\nEarly" not in row["clean_text"] and ".\n\n- One\n- Two\n\nroster = ['a']\n\nF = 3" in row["clean_text"]
     assert ("formula", "F = 3 \\cdot \\sqrt{a}") in said
 
 
