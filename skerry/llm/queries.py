@@ -49,7 +49,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_ranking(spark: SparkSession, folder: str) -> DataFrame:
-    return ideal_point_ranking(table(spark, folder, "search_hits")).select("query_id", "chunk_id", F.round("closeness", 6).alias("closeness"), "rank")
+    return ideal_point_ranking(table(spark, folder, "search_hits")).select("query_id", "chunk_id", F.round("closeness", 4).alias("closeness"), "rank")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,6 +158,28 @@ duels as (
 select i.query_id, i.chunk_id from items i
 left join duels d on d.query_id = i.query_id and d.chunk_id = i.chunk_id
 group by 1, 2 having bool_and(coalesce(d.won, true))""",
+    "p4_ranking": """
+with s as (
+  select query_id, chunk_id, scorer, max(case when isnan(score) then null else score end) as score
+  from search_hits where query_id is not null and chunk_id is not null group by 1, 2, 3),
+r as (select * from s where score is not null and scorer is not null),
+b as (select query_id, scorer, quantile_disc(score, 0.05) as low, quantile_disc(score, 0.95) as high from r group by 1, 2),
+m as (
+  select r.query_id, r.chunk_id, r.scorer, greatest(low, least(high, score)) - low + 0.1e0 * case when high > low then high - low else 1 end as x
+  from r join b on b.query_id = r.query_id and b.scorer = r.scorer),
+items as (select distinct query_id, chunk_id from s),
+n as (select query_id, count(*) as n from items group by 1),
+p as (
+  select m.query_id, scorer, sqrt(sum(x * x)) as len, max(x) / sqrt(sum(x * x)) as ideal,
+         case when count(*) < max(n.n) then 0 else min(x) / sqrt(sum(x * x)) end as floor_
+  from m join n on n.query_id = m.query_id group by 1, 2),
+d as (
+  select i.query_id, i.chunk_id, sum((coalesce(x, 0) / len - floor_) ** 2) as near, sum((coalesce(x, 0) / len - ideal) ** 2) as far
+  from items i left join p on p.query_id = i.query_id left join m on m.query_id = i.query_id and m.chunk_id = i.chunk_id and m.scorer = p.scorer group by 1, 2),
+c as (
+  select query_id, chunk_id, sqrt(round(coalesce(near, 0), 12)) as a, sqrt(round(coalesce(far, 0), 12)) as b from d),
+k as (select query_id, chunk_id, case when a + b > 0 then round(a / (a + b), 9) else 0 end as c from c)
+select query_id, chunk_id, round(c, 4) as closeness, row_number() over (partition by query_id order by c desc, chunk_id) as rank from k""",
     "p5_found": f"with {_LINES} select chunk_ord, cast(line_no as bigint) as line_no from found",
     "p5_clean": f"""
 with {_LINES}
