@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skerry.operators.search import search
+
 
 def needs_fallback(queries: DataFrame, hits: DataFrame, least: float) -> DataFrame:
     """query_id, best (0 without hits), needs_fallback of every query."""
@@ -26,6 +28,20 @@ def title_match(query: Column, title: Column) -> Column:
     return F.when(F.size(asked) > 0, F.size(F.array_intersect(asked, named)) / F.size(asked)).otherwise(0.0)
 
 
+def title_candidates(questions: DataFrame, pages: DataFrame, key: str, limit: int = 20) -> DataFrame:
+    """query_id, query, wiki, title, score: pages whose titles fit the questions (query_id, query) best.
+
+    Titles are searched lexically, by blocks of questions, so words that every title has join
+    nothing; of the ``limit`` best, each wiki's first scores ``limit``, its next one less.
+    """
+    none = F.lit(None).cast("array<float>")
+    asked = questions.select("query_id", F.col("query").alias("text"), none.alias("vector"))
+    hits = search(asked, pages.withColumn("__v", none), limit, per_doc=0, lexical_only=True, key=key, doc="wiki", text="title", vector="__v")
+    place = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("rank"))
+    rows = hits.select("query_id", F.col("chunk_ord").alias(key), (F.lit(limit + 1) - place).cast("bigint").alias("score"))
+    return rows.join(pages.select(key, "wiki", "title"), key).join(questions, "query_id").select("query_id", "query", "wiki", "title", "score")
+
+
 def best_candidates(candidates: DataFrame, order: str = "wiki") -> DataFrame:
     """query_id, wiki, title, score, match of each query's best candidate: by score, then title match, then the lower ``order`` and title.
 

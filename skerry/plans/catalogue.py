@@ -249,10 +249,10 @@ def needs_fallback(spark, folder):
 
 def pick_best_hit(spark, folder):
     asked = table(spark, folder, "eval_questions").select(F.col("id").alias("query_id"), F.col("question").alias("query"))
-    word = lambda c: F.explode(F.array_distinct(F.split(F.lower(c), r"[^\p{L}\p{N}]+"))).alias("w")
-    pages = table(spark, folder, "manifest_pages").select("wiki", "title").distinct()
-    met = asked.select("query_id", "query", word("query")).filter("length(w) > 3").join(pages.select("wiki", "title", word("title")), "w")
-    met = met.groupBy("query_id", "query", "wiki", "title").agg(F.count("*").alias("score"))
+    wiki = F.split("doc_id", "__", 2)[0].alias("wiki")
+    pages = table(spark, folder, "chunks").select("chunk_ord", wiki, F.col("metadata.title").alias("title")).filter("title is not null")
+    pages = cut(pages.groupBy("wiki", "title").agg(F.min("chunk_ord").alias("chunk_ord")))
+    met = fallback.title_candidates(asked, pages, "chunk_ord")
     return fallback.best_candidates(met).select("query_id", "wiki", "title", "score", F.round("match", 6).alias("match"))
 
 
@@ -525,10 +525,13 @@ from eval_questions e left join ctx on ctx.query_id = e.id""",
   round(score, 4) as score, coalesce(c.metadata.source, '') as url from hits h join chunks c on c.chunk_ord = h.chunk_ord""",
     "needs_fallback": f"""with {_ONLY_TEXT}, {_LEXICAL}, b as (select query_id, max(round(s, 6)) as best from lex group by 1)
 select q.query_id, coalesce(best, 0) as best, best is null or best < 12 as needs_fallback from q left join b on b.query_id = q.query_id""",
-    "pick_best_hit": r"""with qw as (select id as query_id, question as query, unnest(list_distinct(regexp_split_to_array(lower(question), '[^\p{L}\p{N}]+'))) as w from eval_questions),
-pw as (select wiki, title, unnest(list_distinct(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+'))) as w from (select distinct wiki, title from manifest_pages)),
-met as (select query_id, query, wiki, title, count(*) as score from qw join pw on pw.w = qw.w where length(qw.w) > 3 group by 1, 2, 3, 4),
-words as (select *, list_filter(list_distinct(regexp_split_to_array(lower(query), '\s+')), lambda w: length(w) > 1) as a, regexp_split_to_array(translate(lower(title), '()', '  '), '\s+') as t from met),
+    "pick_best_hit": f"""with {_ONLY_TEXT},
+pages as (select min(chunk_ord) as chunk_ord, split_part(doc_id, '__', 1) as wiki, metadata.title as title, metadata.title as text from chunks where metadata.title is not null group by 2, 3),
+{_LEXICAL.replace("from chunks", "from pages")},
+top as (select query_id, chunk_ord, row_number() over (partition by query_id order by round(s, 6) desc, chunk_ord) as r from lex qualify r <= 20),
+met as (select top.query_id, q.text as query, wiki, title, 21 - row_number() over (partition by top.query_id, wiki order by r) as score
+  from top join pages on pages.chunk_ord = top.chunk_ord join q on q.query_id = top.query_id),
+words as (select *, list_filter(list_distinct(regexp_split_to_array(lower(query), '[ \\t\\n\\f\\r]+')), lambda w: length(w) > 1) as a, regexp_split_to_array(translate(lower(title), '()', '  '), '[ \\t\\n\\f\\r]+') as t from met),
 scored as (select query_id, wiki, title, score, case when len(a) > 0 then len(list_intersect(a, t)) / cast(len(a) as double) else 0 end as match from words)
 select query_id, wiki, title, score, round(match, 6) as match from scored
 qualify row_number() over (partition by query_id order by score desc, match desc, wiki, title) = 1""",

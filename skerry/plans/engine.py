@@ -65,9 +65,9 @@ class Engine:
     def fetch(self, questions: DataFrame, pages: DataFrame) -> int:
         """Take the best page for each question into the index; the number of chunks added. Pages that are too short are refused."""
         s = self.settings
-        words = questions.select("query_id", F.col("question").alias("query"), F.explode(F.array_distinct(F.split(F.lower("question"), r"[^\p{L}\p{N}]+"))).alias("w")).filter("length(w) > 3")
-        named = pages.select("wiki", "title", F.explode(F.array_distinct(F.split(F.lower("title"), r"[^\p{L}\p{N}]+"))).alias("w"))
-        met = words.join(named, "w").groupBy("query_id", "query", "wiki", "title").agg(F.count("*").alias("score"))
+        asked = questions.select("query_id", F.col("question").alias("query"))
+        keyed = pages.select(F.xxhash64("wiki", "title").alias("__page"), "wiki", "title").distinct()
+        met = fallback.title_candidates(asked, keyed, "__page", s.fallback_results)
         best = fallback.best_candidates(met).select("wiki", "title").distinct()
         chosen = pages.join(best, ["wiki", "title"]).withColumn("doc_id", page_doc_id(F.col("wiki"), F.col("title")))
         chosen = cut(fallback.not_indexed(chosen, self.index.open()).dropDuplicates(["doc_id"]))
