@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,12 +27,25 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
     The folder is the one that the cluster names in ``spark.checkpoint.dir``, which every
-    executor shares, so the rows survive the loss of any executor. Only a session without
-    that setting (tests on one machine) gets a folder of its own.
+    executor shares, so the rows survive the loss of any executor. Only a local session
+    without that setting (tests on one machine) gets a folder of its own; on a cluster it is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skerry-")
-        )
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skerry-"))
     return df.checkpoint(eager)
+
+
+def slices(batch: pa.RecordBatch, text: int, rows: int, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """``batch`` in slices of at most ``rows`` rows and, unless one row alone has more, ``size`` bytes of its column ``text``."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(lengths, dtype=np.int64)
+    begin = 0
+    while begin < batch.num_rows:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, min(begin + rows, int(np.searchsorted(ends, before + size, "right"))))
+        yield batch.slice(begin, end - begin)
+        begin = end
