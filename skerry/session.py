@@ -33,7 +33,7 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
+        if folder is None and context.master.partition("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skerry-"))
     return df.checkpoint(eager)
