@@ -1,10 +1,13 @@
 """Splitting of oversized items at natural boundaries (problem 2).
 
-One bounded-quantifier regular expression does the cutting inside the JVM. Its
-alternatives are ordered by the strength of the boundary they end at (rest of the text,
-blank line, newline, end of sentence, space, any character); each takes as much as it may,
-up to the limit. The pieces' overlap is looked up in the text before them by a fold over
-the array of cuts. There is no shuffle and no Python: the operator is one projection.
+Bounded-quantifier regular expressions do the cutting inside the JVM. Their alternatives are
+ordered by the strength of the boundary they end at (rest of the text, blank line, newline,
+end of sentence, space, any character); each takes as much as it may, up to the limit. The
+pieces' overlap is looked up in the cuts before them by SQL array functions: two cuts in a
+row are never both short, so a fixed number of them holds it. How strong a boundary a text
+can be cut at throughout is found the same way: what consecutive bounded parts of one strength
+use up goes, and the rest is tried with the next weaker one as well.
+There is no shuffle and no Python: the operator is one projection.
 """
 
 from __future__ import annotations
@@ -12,15 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANKS = " \t\r\n"
-
 
 def cut_pattern(limit: int, overlap: int) -> str:
     """Pattern whose successive matches are the new (not repeated) parts of the pieces.
 
     The first piece may take ``limit`` code points, each later one ``limit - overlap``,
     for it repeats ``overlap``. A boundary in the upper half of the room is preferred, a
-    stronger one to a weaker; below that the last space counts; then any character.
+    stronger one to a weaker; below that the last space counts; then any character. A piece
+    that ends at a blank line has it whole, so no blank line looked for is longer than the room.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be at least 0 and below the limit")
@@ -30,7 +32,7 @@ def cut_pattern(limit: int, overlap: int) -> str:
         return "|".join(
             [
                 rf".{{1,{room}}}\z",
-                rf".{{{low},{room}}}(?<=\n)(?<=\n[ \t\r]{{0,80}}\n)",
+                rf".{{{low},{room}}}(?<=\n)(?<=\n[ \t\r]{{0,{room}}}\n)",
                 rf".{{{low},{room}}}(?<=\n)",
                 rf".{{{low},{room}}}(?<=[.!?][ \t\r])",
                 rf".{{{low},{room}}}(?<=[ \t\r])",
@@ -42,21 +44,29 @@ def cut_pattern(limit: int, overlap: int) -> str:
     return rf"(?s)\A(?:{alternatives(limit)})|(?:{alternatives(limit - overlap)})"
 
 
-def _longest(parts: Column) -> Column:
-    return F.array_max(F.transform(parts, lambda part: F.length(F.btrim(part, F.lit(BLANKS)))))
-
-
 def boundary_of(text: Column, limit: int) -> Column:
-    """The first of paragraph, line, sentence and word whose trimmed parts all fit ``limit``."""
-    levels = {
-        "paragraph": r"\n[ \t\r\n]*\n",
-        "line": r"\n",
-        "sentence": r"\n|(?<=[.!?])[ \t\r]+",
-        "word": r"[ \t\r\n]+",
+    """The first of paragraph, line, sentence and word whose trimmed parts all fit ``limit``, else none.
+
+    A part is at most ``limit`` code points that end in none of space, tab, carriage return and
+    newline, up to its boundary. Parts are taken from the front as long as one of the
+    boundaries so far ends them; if nothing is left, all parts fit. A weaker boundary's parts lie
+    within a stronger one's, so what the stronger one used up needn't be looked at again.
+    """
+    blank, inked = r"[ \t\r\n]", r"(?<![ \t\r\n])"
+    parts = {
+        "paragraph": rf"(?s:.{{1,{limit}}}?){inked}(?:[ \t\r]*+\n[ \t\r]*+\n|{blank}*+\z)",
+        "line": rf"[^\n]{{1,{limit}}}?{inked}[ \t\r]*+(?:\n|\z)",
+        "sentence": rf"[^\n]{{1,{limit}}}?(?<=[.!?])[ \t\r]++",
+        "word": rf"[^ \t\r\n]{{1,{limit}}}+(?:{blank}|\z)",
     }
-    found = F.lit("none")
-    for name, pattern in reversed(levels.items()):
-        found = F.when(_longest(F.split(text, pattern)) <= limit, F.lit(name)).otherwise(found)
+    found, rest, some = F.lit("none"), text, []
+    steps = []
+    for name, part in parts.items():
+        some.append(part)
+        rest = F.regexp_replace(rest, rf"\G{blank}*+(?:\z|{'|'.join(some)})", "")
+        steps.append((name, rest))
+    for name, left in reversed(steps):
+        found = F.when(left == "", F.lit(name)).otherwise(found)
     return found
 
 
@@ -79,19 +89,18 @@ def split_oversized(
     """
     body = F.col(text)
     over = F.length(body) > limit
-    start = F.struct(F.lit("").alias("tail"), F.expr("cast(array() as array<struct<piece:string,n_new:int>>)").alias("out"))
+    cuts = F.regexp_extract_all(body, F.lit(cut_pattern(limit, overlap)), F.lit(0))
+    # two cuts in a row have at least half the room, for a short one ends at the last space of its room
+    back = 2 * -(-overlap // max(1, (limit - overlap) // 2))
 
-    def step(state: Column, new: Column) -> Column:
-        piece = F.concat(state["tail"], new)
-        tail = F.right(piece, F.lit(overlap)) if overlap else F.lit("")
-        item = F.struct(piece.alias("piece"), F.length(new).alias("n_new"))
-        return F.struct(tail.alias("tail"), F.concat(state["out"], F.array(item)).alias("out"))
+    def piece(cut: Column, at: Column) -> Column:
+        before = F.array_join(F.slice(F.col("__cuts"), F.greatest(F.lit(1), at - back + 1), F.least(F.lit(back), at)), "")
+        return F.struct(F.concat(F.right(before, F.lit(overlap)), cut).alias("piece"), F.length(cut).alias("n_new"))
 
-    cuts = F.regexp_extract_all(body, F.lit(cut_pattern(limit, overlap)), F.lit(0))
-    whole = F.array(F.struct(body.alias("piece"), F.length(body).alias("n_new")))
-    pieces = F.when(over, F.aggregate(cuts, start, step, lambda state: state["out"])).otherwise(whole)
+    pieces = F.transform("__cuts", piece) if overlap else F.transform("__cuts", lambda cut: F.struct(cut.alias("piece"), F.length(cut).alias("n_new")))
     return (
-        df.select(*keys, pieces.alias("__pieces"), F.when(over, boundary_of(body, limit)).alias("__boundary"))
+        df.select(*keys, F.when(over, cuts).otherwise(F.array(body)).alias("__cuts"), F.when(over, boundary_of(body, limit)).alias("__boundary"))
+        .select(*keys, "__boundary", pieces.alias("__pieces"))
         .select(*keys, "__boundary", F.size("__pieces").cast("bigint").alias("n_pieces"), F.posexplode("__pieces").alias("piece_no", "__piece"))
         .select(
             *keys,

@@ -52,7 +52,42 @@ def test_very_long_text(spark):
 
 @pytest.mark.parametrize(
     ("text", "level"),
-    [("aaaa\n \t\nbbbb", "paragraph"), ("aaaa\nbbbb\n\n" + "c" * 5, "line"), ("aaa. bbb\nc", "sentence"), ("aaaaa bb c", "word"), ("aaaaaaa", "none"), ("  aaaaa  \n", "paragraph"), ("aa.bbb cc", "none")],
+    [("aaaa\n \t\nbbbb", "paragraph"), ("aaaa\nbbbb\n\n" + "c" * 5, "line"), ("aaa. bbb\nc", "sentence"), ("aaaaa bb c", "word"), ("aaaaaaa", "none"), ("  aaaaa  \n", "paragraph"), ("aa.bbb cc", "none"), ("aaaa \t \n bb", "line"), ("aaaa bb. cc", "word"), ("aaaa? \n\n bbbb! cc", "sentence"), ("   \n   \n", "paragraph"), ("aaaaa\n\n\n\n\nbbbbb", "paragraph"), ("漢😀漢😀漢", "paragraph"), ("漢😀漢😀漢漢", "none")],
 )
 def test_boundary(spark, text, level):
     assert spark.createDataFrame([(text,)], "t string").select(boundary_of(F.col("t"), 5).alias("b")).first()["b"] == level
+
+
+def plain_boundary(text, limit):
+    import re
+
+    def fits(parts):
+        return all(len(p.strip(" \t\r\n")) <= limit for p in parts)
+
+    lines = text.split("\n")
+    levels = {"paragraph": re.split(r"\n[ \t\r\n]*\n", text), "line": lines, "sentence": [p for x in lines for p in re.split(r"(?<=[.!?])[ \t\r\n]+", x)], "word": re.split(r"[ \t\r\n]+", text)}
+    return next((name for name, parts in levels.items() if fits(parts)), "none")
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(st.sampled_from("abc.. \n\t\r😀漢!?"), max_size=60), min_size=1, max_size=60))
+def test_boundary_against_splitting(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    for limit in (3, 7):
+        got = {r["k"]: r["b"] for r in df.select("k", boundary_of(F.col("t"), limit).alias("b")).collect()}
+        assert got == {i: plain_boundary(t, limit) for i, t in enumerate(texts)}
+
+
+def test_a_blank_line_of_any_length_is_a_boundary(spark):
+    text = "a" * 600 + "\n" + " " * 500 + "\n" + "b c\n" * 400
+    assert pieces(spark, [text], 1800, 250)[0][0]["piece"] == "a" * 600 + "\n" + " " * 500 + "\n"
+    df = spark.createDataFrame([("x" * 3 + "\n" + " " * 100_000 + "\n" + "y" * 5,)], "t string")
+    assert df.select(boundary_of(F.col("t"), 5).alias("b")).first()["b"] == "paragraph"
+
+
+def test_overlap_over_short_cuts(spark):
+    rows = pieces(spark, ["a " + "b" * 1799 + " c " + "d" * 3000 + " e"], 1800, 1500)[0]
+    before = ""
+    for r in rows:
+        assert len(r["piece"]) <= 1800 and r["piece"][: len(r["piece"]) - r["n_new"]] == before[-1500:]
+        before += r["piece"][len(r["piece"]) - r["n_new"] :]
