@@ -1,20 +1,28 @@
 """Markup residue in text (problem 1).
 
-A recurrent block labeller: a text is a sequence of leaves (its lines that aren't blank), a
-leaf is described by the path of constructs that are open where it starts (tags, fences,
-templates, environments), by the kinds of signs in it and by the mean of the hashed vectors
-of its words, and a bidirectional LSTM in numpy labels every leaf from the whole sequence:
-its role (text, heading, list, code, formula, table, rest) and whether it carries markup.
-
-``find_markup`` takes the leaves that the network finds suspicious and keeps those in which
-the sign scanner can name a piece of markup. ``clean_markup`` rewrites them by role.
+A recurrent block labeller. A text is a sequence of leaves (its lines that aren't blank). What
+a bidirectional LSTM in numpy reads of a leaf:
+
+* the path of constructs open where it starts (tags, fences, templates, environments), as
+  vectors of the whole path and of its innermost construct;
+* hashed-word vectors: the mean vector of its words, and, for the signs between the words,
+  the greatest value, component by component, of the vectors of the signs' surroundings. Such
+  a vector is the sum of learned vectors of hashed n-grams of the tokens around a sign,
+  each token as its shape (a word, a capitalised word, a number, a space, the sign itself) and
+  the neighbouring words also as they are;
+* its place in the text, length, number of words, and depth of the path.
+
+From the whole sequence it labels every leaf: its role (text, heading, list, code, formula,
+table, rest) and the probability that it carries markup. A text has markup if some leaf
+reaches ``least``; no list of patterns has a say in that. ``clean_markup`` rewrites the
+marked leaves by role with the scanner of ``rewrite``.
+
 The weights beside this module are made by ``markup_train``; the work is one batched
 projection without a shuffle, and the broadcast weights have a fixed size.
 """
 
 from __future__ import annotations
 
-import html
 import re
 import zlib
 from collections.abc import Iterator
@@ -26,144 +34,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-ROLES = ("text", "heading", "list", "code", "formula", "table", "rest")
-WORDS, PATHS, DIM = 4096, 256, 8
-
-_TAGS = (
-    "a|abbr|b|big|blockquote|body|br|caption|center|cite|code|dd|del|div|dl|dt|em|figcaption|figure|font|h[1-6]|head|hr|html|i|iframe|img|ins|"
-    "kbd|li|link|math|meta|nowiki|ol|p|pre|q|ref|s|script|section|small|span|strike|strong|style|sub|sup|table|tbody|td|th|thead|title|tr|tt|u|ul|video"
-)
+from skerry.llm.rewrite import ROLES, clean, joined
+from skerry.session import slices
 
-#: Kinds of signs; where several match at a place, the first does. The names up to "tie" are markup.
-_KINDS = {
-    "comment": r"<!--.*?(?:-->|$)|(?<=--)>",
-    "autolink": r"<(?:https?://|mailto:)[^>\s]*>?",
-    "tag": r"</?[A-Za-z][A-Za-z0-9:-]*(?:[\s/][^<>]*)?>",
-    "tag_cut": rf"</?(?i:{_TAGS})\b[^<>]*$",
-    "charref": r"&(?:#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});|&(?:nbsp|amp|lt|gt|quot|[mn]dash|hellip|[lr][sd]quo|apos|#\d{2,6})(?![A-Za-z;=])",
-    "environment": r"\\(?:begin|end)\s*\{[^}\n]*\}?",
-    "display": r"\$\$|(?<!\\)\\[\[\]()]",
-    "inline": r"\$(?=[^$\n]*[\\^_{])[^$\n]+\$|\$(?=[A-Za-z(\\])[^$\n]{1,80}\$(?!\d)",
-    "fence": r"^(?:```|~~~)[^`]*$",
-    "code": r"`{1,2}[^`\n]+`{1,2}|`",
-    "definition": r"^\[[^\]\n]+\]:\s*\S+",
-    "link": r"\[[^\[\]\n]*\]\([^()\n]*(?:\)|$)",
-    "reference": r"\[[^\[\]\n]+\]\[[^\[\]\n]*\]|\[\^[^\]\n]+\]",
-    "wikilink": r"\[\[|\]\]",
-    "extlink": r"\[(?:https?:)?//\S+",
-    "task": r"(?<=[-*+] )\[[ xX]\](?=\s)",
-    "template": r"\{\{+|\}\}+",
-    "wiki_table": r"^\{\||^\|\}|^\|[-+](?=\s|$)",
-    "table_rule": r"^\|\s*:?-{2,}:?\s*\|[\s:|-]*$",
-    "table_row": r"^\|[^\n]*\|\s*$",
-    "parameter": r"^\|\s*[\w ]+=",
-    "cell": r"^[|!](?=\s?\w)|\|\|",
-    "wiki_heading": r"^={1,6}(?=[^=\n])[^\n]*?[^=\n]={1,6}\s*$",
-    "underline": r"^={3,}\s*$|^-{3,}\s*$",
-    "rule": r"^(?:\*[ \t]?){3,}\s*$|^_{3,}\s*$",
-    "quotes": r"''+",
-    "heading": r"^#{1,6}\s+(?=\S)",
-    "wiki_list": r"^[*:;]{1,6}\s+(?=\S)|^[*#:;]{2,6}\s*(?=\S)",
-    "quote": r"^>",
-    "strong": r"\*{2,3}(?=\S)|(?<=\S)\*{2,3}",
-    "emphasis": r"(?<![\w*])\*(?=[^\s*])[^*\n]*(?<=[^\s*])\*(?![\w*])",
-    "magic": r"__[A-Z]{3,}__",
-    "under": r"(?<!\w)__(?=[^\s_])|(?<=[^\s_])__(?!\w)|(?<!\w)_(?=[A-Za-z])[^_\n]*(?<=[^\W_])_(?!\w)",
-    "strike": r"~~(?!~)",
-    "path": r"(?<=[A-Za-z]:)\\[^\s\\]*(?:\\[^\s\\]*)*|(?<![\\\w])\\\\\w[\w.-]*\\[\w\\.-]*",
-    "accent": r"""\\['"`^~=.](?:\{\w+\}|\\?[A-Za-z])""",
-    "command": r"\\[A-Za-z]+\*?",
-    "escape": r"\\[%&$#_{}~*`>+.!|\[\]-]|\\\\",
-    "tie": r"(?<=\w)~(?=[A-Z\\])",
-    "money": r"\$(?=\s?\d)",
-    "compare": r"<(?=[\s\d=-]|$)|(?<=\s)>(?=\s)|[<>]=",
-    "and": r"&",
-    "star": r"\*",
-    "bracket": r"\[[^\[\]\n]*\]?|\]",
-    "brace": r"\{[^{}\n]*\}?|\}",
-    "tilde": r"~",
-    "caret": r"\^",
-    "pipe": r"\|",
-    "underscore": r"_",
-    "equal": r"=",
-    "other": r"[<>$\\]",
-}
-NAMES = tuple(_KINDS)
-_AT = {name: i for i, name in enumerate(NAMES)}
-_HARMLESS = frozenset(("path", *NAMES[NAMES.index("tie") + 1 :]))
-MARKUP = frozenset(NAMES) - _HARMLESS
-_SCAN = re.compile(r"(?=[<>&$\\`\[\]{}|=*_~^']|^[-#!:;])(?:" + "|".join(f"(?P<{n}>{p})" for n, p in _KINDS.items()) + ")")
-_SPECIAL = re.compile(r"[<>&$\\`\[\]{}|=*_~^]|''|^(?:[#!:;]|-{3,})")
+WORDS, PATHS, GRAMS, DIM, SIGN_DIM, FIGURES = 4096, 256, 1 << 15, 8, 16, 5
+WIDTH = FIGURES + 3 * DIM + SIGN_DIM
+CELLS = 1 << 18
+_U = np.uint64
 _NEWLINE = re.compile(r"\r\n?|\n")
-_TAG_NAME = re.compile(r"<(/?)\s*([A-Za-z][A-Za-z0-9]*)")
+
+# ---------------------------------------------------------------- leaves and paths
+
+_OPENING = re.compile(r"[<{}\\$`~|]")
+_CONSTRUCT = re.compile(
+    r"<(?P<shut>/?)(?P<tag>[A-Za-z][A-Za-z0-9]*)(?:[\s/][^<>]*)?>|^\s*(?P<fence>```|~~~)|(?P<open>\{\{|^\{\|)|(?P<close>\}\}|^\|\})|\\(?P<env>begin|end)\s*\{|(?P<math>\$\$|\\[\[\]])"
+)
 _VOID = frozenset(("br", "hr", "img", "meta", "link", "input", "wbr"))
-EXTRA = 6
-WIDTH = len(NAMES) + EXTRA + 2 * DIM
-
-
-def scan(line: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the signs of a line, from left to right."""
-    if not _SPECIAL.search(line):
-        return []
-    return [(m.lastgroup, m.start(), m.end()) for m in _SCAN.finditer(line)]
-
-
-def _walk(stack: list[str], line: str, signs: list[tuple[str, int, int]]) -> None:
-    """Move the path of open constructs over a line."""
-    for kind, start, end in signs:
-        sign = line[start:end]
-        if kind == "tag":
-            shut, name = _TAG_NAME.match(sign).groups()
-            name = name.lower()
-            if shut:
-                if name in stack:
-                    del stack[len(stack) - 1 - stack[::-1].index(name) :]
-            elif name not in _VOID and not sign.endswith("/>"):
-                stack.append(name)
-        elif kind == "fence":
-            stack.remove("```") if "```" in stack else stack.append("```")
-        elif kind == "template" or kind == "wiki_table" and sign in ("{|", "|}"):
-            mark = "{{" if kind == "template" else "{|"
-            if sign[0] == "{":
-                stack.append(mark)
-            elif mark in stack:
-                stack.remove(mark)
-        elif kind == "environment":
-            stack.append("env") if sign.startswith("\\begin") else ("env" in stack and stack.remove("env"))
-        elif kind == "display" and sign in ("$$", "\\[", "\\]"):
-            if "math" in stack:
-                stack.remove("math")
-            elif sign != "\\]":
-                stack.append("math")
-        if len(stack) > 12:
-            del stack[0]
+_NESTS = ("```", "pre", "math", "env")
+
+
+class _Path:
+    """The constructs that are open, each with the hash of the path down to it."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.hashes: list[int] = [0]
+        self.open: dict[str, int] = {}
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        self.hashes.append(zlib.crc32(name.encode(), self.hashes[-1]))
+        self.open[name] = self.open.get(name, 0) + 1
+
+    def pop(self, name: str) -> None:
+        """Shut the innermost construct of that name and all within it; without one, nothing happens."""
+        while self.open.get(name):
+            last = self.names.pop()
+            self.hashes.pop()
+            self.open[last] -= 1
+            if last == name:
+                return
+
+    def turn(self, name: str) -> None:
+        self.pop(name) if self.open.get(name) else self.push(name)
+
+    def walk(self, line: str) -> None:
+        for found in _CONSTRUCT.finditer(line):
+            kind, sign = found.lastgroup, found[0]
+            if kind == "tag":
+                name = found["tag"].lower()
+                if found["shut"]:
+                    self.pop(name)
+                elif name not in _VOID and not sign.endswith("/>"):
+                    self.push(name)
+            elif kind == "fence":
+                self.turn("```")
+            elif kind == "open":
+                self.push(sign)
+            elif kind == "close":
+                self.pop("{{" if sign == "}}" else "{|")
+            elif kind == "env":
+                self.push("env") if found["env"] == "begin" else self.pop("env")
+            elif sign == "\\]":
+                self.pop("math")
+            else:
+                self.turn("math")
 
 
 class Leaf:
-    """A line that isn't blank, with its signs and the constructs open where it starts."""
+    """A line that isn't blank, and what is open where it starts."""
 
-    __slots__ = ("line", "number", "path", "signs")
+    __slots__ = ("depth", "inner", "inside", "line", "number", "path")
 
-    def __init__(self, number: int, line: str, signs: list[tuple[str, int, int]], path: tuple[str, ...]):
-        self.number, self.line, self.signs, self.path = number, line, signs, path
+    def __init__(self, number: int, line: str, path: _Path):
+        self.number, self.line = number, line
+        self.path, self.depth = path.hashes[-1], len(path.names)
+        self.inner = path.names[-1] if path.names else ""
+        self.inside = tuple(x for x in _NESTS if path.open.get(x)) if path.names else ()
 
 
 def leaves(text: str) -> list[Leaf]:
-    out, stack = [], []
+    out, path = [], _Path()
     for number, line in enumerate(_NEWLINE.split(text) if "\r" in text else text.split("\n")):
-        if not line or line.isspace():
-            continue
-        # the header line of a chunk is "[Title]" or "[Title] — Section"
-        signs = [] if number == 0 and line[0] == "[" and line[1:2] != "[" and "](" not in line and "][" not in line else scan(line.lstrip())
-        if signs and len(line) != len(line.lstrip()):
-            shift = len(line) - len(line.lstrip())
-            signs = [(k, a + shift, b + shift) for k, a, b in signs]
-        out.append(Leaf(number, line, signs, tuple(stack)))
-        if signs:
-            _walk(stack, line, signs)
+        if line and not line.isspace():
+            out.append(Leaf(number, line, path))
+            if _OPENING.search(line):
+                path.walk(line)
     return out
 
 
+# ---------------------------------------------------------------- what the network reads
+
 _word_ids: dict[str, int] = {}
 
 
@@ -174,47 +135,144 @@ def _word_id(word: str) -> int:
     return got
 
 
-@lru_cache(maxsize=4096)
-def _path_id(path: tuple[str, ...]) -> int:
-    return zlib.crc32("/".join(path).encode()) % PATHS if path else 0
-
-
-def describe(found: list[Leaf]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signs and figures, path id, word ids, owner of each word) of leaves."""
-    x = np.zeros((len(found), len(NAMES) + EXTRA), np.float32)
-    known, ids, count = _word_ids.get, [], np.empty(len(found), np.int64)
-    for i, leaf in enumerate(found):
-        for kind, _, _ in leaf.signs:
-            x[i, _AT[kind]] += 1
-        words = leaf.line.split()
-        count[i] = len(words)
-        for word in words:
-            got = known(word)
-            ids.append(_word_id(word) if got is None else got)
-    size = np.fromiter((len(leaf.line) for leaf in found), np.float32, len(found))
-    n = len(NAMES)
-    x[:, :n] = np.minimum(x[:, :n], 4) / 2
-    x[:, n] = np.log1p(size) / 6
-    x[:, n + 1] = np.fromiter((leaf.number == 0 for leaf in found), np.float32, len(found))
-    x[:, n + 2] = np.fromiter((leaf.line[-1] in ".!?" for leaf in found), np.float32, len(found))
-    x[:, n + 3] = np.fromiter((leaf.line.startswith("- ") for leaf in found), np.float32, len(found))
-    x[:, n + 4] = np.fromiter((min(len(leaf.path), 4) / 2 for leaf in found), np.float32, len(found))
-    x[:, n + 5] = np.log1p(count) / 4
-    path = np.fromiter((_path_id(leaf.path) for leaf in found), np.int64, len(found))
-    return x, path, np.array(ids, np.int64), np.repeat(np.arange(len(found)), count)
-
-
-def embed(weights: dict[str, np.ndarray], x: np.ndarray, path: np.ndarray, ids: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    count = np.bincount(owner, minlength=len(x)).astype(np.float32)
-    words = np.zeros((len(x), DIM), np.float32)
-    if len(ids):
-        some = np.flatnonzero(count)
-        starts = (np.cumsum(count) - count)[some].astype(np.int64)
-        words[some] = np.add.reduceat(weights["words"][ids], starts, axis=0) / count[some, None]
-    return np.concatenate([x, weights["paths"][path], words], axis=1)
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
+LETTER, CAPITAL, DIGIT, SPACE, OTHER, EDGE, SIGN = 1, 2, 3, 4, 5, 6, 16
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """The kind of each code point of the first plane."""
+    out = np.full(1 << 16, OTHER, np.uint16)
+    for c in range(1 << 16):
+        s = chr(c)
+        if s.isalpha():
+            out[c] = CAPITAL if s.isupper() else LETTER
+        elif s.isdecimal():
+            out[c] = DIGIT
+        elif s.isspace():
+            out[c] = SPACE
+        elif c < 128:
+            out[c] = SIGN + c
+    out[10] = EDGE
+    return out
+
+
+#: Signs whose surroundings are read wherever they stand, doubled, and at the start of a line.
+_ANYWHERE, _DOUBLED, _FIRST = "<>&$\\`[]{}|=*_~^#", "'-", ":;!-"
+#: Tokens before and after the sign that an n-gram takes in.
+_WINDOWS = ((0, 0), (1, 0), (0, 1), (1, 1), (2, 0), (0, 2), (2, 1), (1, 2), (2, 2), (3, 0), (0, 3), (4, 0), (0, 4), (3, 3))
+N_GRAMS = len(_WINDOWS) + 4
+_HAS_SIGN = re.compile(r"[<>&$\\`\[\]{}|=*_~^#]|''|--|^\s*[:;!-]")
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    return x ^ (x >> _U(31))
+
+
+def _flag(signs: str) -> np.ndarray:
+    out = np.zeros(SIGN + 128, bool)
+    out[[SIGN + ord(c) for c in signs]] = True
+    return out
+
+
+def sign_grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(line of each sign, its hashed n-grams) of the signs of lines, by line."""
+    code = np.frombuffer(("\n" + "\n".join(lines) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = np.where(code < 1 << 16, _kinds()[np.minimum(code, (1 << 16) - 1)], OTHER)
+    run = np.where(kind == CAPITAL, LETTER, kind)
+    new = np.ones(len(run), bool)
+    new[1:] = (run[1:] != run[:-1]) | (run[1:] == EDGE)
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(run)))
+    kind, run = kind[start].astype(np.int64), run[start]
+    line = np.cumsum(run == EDGE) - 1
+    low = np.where((code >= 65) & (code <= 90), code + 32, code).astype(np.uint64)
+    place = (np.arange(len(code)) - np.repeat(start, size)).astype(np.uint64)
+    word = np.add.reduceat(_mix(low + place * _U(0x9E3779B97F4A7C15)), start)
+    shape = _mix((kind + np.where(kind >= SIGN, 256 * np.minimum(size, 4), 0)).astype(np.uint64) + _U(7))
+    edge, is_edge = shape[0], run == EDGE
+    first = np.zeros(len(run), bool)
+    first[1:] = is_edge[:-1]
+    first[2:] |= is_edge[:-2] & (run[1:-1] == SPACE)
+    sign = np.minimum(kind, SIGN + 127)
+    wanted = _flag(_ANYWHERE)[sign] | _flag(_DOUBLED)[sign] & (size > 1) | _flag(_FIRST)[sign] & first
+    at = np.flatnonzero(wanted)
+    mine = line[at]
+
+    def near(step: int, of: np.ndarray) -> np.ndarray:
+        there = np.clip(at + step, 0, len(run) - 1)
+        return np.where((line[there] == mine) & ~is_edge[there], of[there], edge)
+
+    around = {step: near(step, shape) for step in range(-4, 5)}
+    grams = np.empty((len(at), N_GRAMS), np.int64)
+    for i, (back, ahead) in enumerate(_WINDOWS):
+        value = np.full(len(at), i + 1, np.uint64)
+        for step in range(-back, ahead + 1):
+            value = _mix(value * _U(0x9E3779B97F4A7C15) + around[step])
+        grams[:, i] = (value & _U(GRAMS - 1)).astype(np.int64)
+    after, before, sharp = near(1, word), near(-1, word), near(2, shape)
+    pairs = ((101, around[0], after), (102, before, around[0]), (103, around[0] + after, sharp), (104, around[0] * _U(3) + around[-1], after))
+    for i, (salt, a, b) in enumerate(pairs, len(_WINDOWS)):
+        grams[:, i] = (_mix(_mix(a + _U(salt)) * _U(0x9E3779B97F4A7C15) + b) & _U(GRAMS - 1)).astype(np.int64)
+    return mine, grams
+
+
+class Described:
+    """What the network reads of leaves, before its vectors are looked up."""
+
+    def __init__(self, found: list[Leaf]):
+        known, ids, n = _word_ids.get, [], len(found)
+        count = np.empty(n, np.int64)
+        for i, leaf in enumerate(found):
+            words = leaf.line.split()
+            count[i] = len(words)
+            for word in words:
+                got = known(word)
+                ids.append(_word_id(word) if got is None else got)
+        self.words, self.count = np.array(ids, np.int64), count
+        self.path = np.fromiter((x.path % PATHS for x in found), np.int64, n)
+        self.inner = np.fromiter((zlib.crc32(x.inner.encode()) % PATHS if x.inner else 0 for x in found), np.int64, n)
+        signed = [i for i, x in enumerate(found) if _HAS_SIGN.search(x.line)]
+        owner, self.grams = sign_grams([found[i].line for i in signed]) if signed else (np.zeros(0, np.int64), np.zeros((0, N_GRAMS), np.int64))
+        self.owner = np.array(signed, np.int64)[owner] if signed else owner
+        size = np.fromiter((len(x.line) for x in found), np.float32, n)
+        number = np.fromiter((x.number == 0 for x in found), np.float32, n)
+        depth = np.fromiter((x.depth for x in found), np.float32, n)
+        ends = np.fromiter((x.line[-1] in ".!?" for x in found), np.float32, n)
+        self.figures = np.stack([np.log1p(size) / 6, number, ends, np.log1p(depth), np.log1p(count.astype(np.float32)) / 4], axis=1)
+
+
+def sign_vectors(weights: dict[str, np.ndarray], grams: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(grams), SIGN_DIM), np.float32)
+    for i in range(grams.shape[1]):
+        out += weights["grams"][grams[:, i]]
+    return np.tanh(out)
+
+
+def pooled(owner: np.ndarray, vectors: np.ndarray, n: int) -> np.ndarray:
+    """The greatest components of each leaf's sign vectors; -1 without a sign."""
+    out = np.full((n, SIGN_DIM), -1, np.float32)
+    if len(owner):
+        starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        out[owner[starts]] = np.maximum.reduceat(vectors, starts, axis=0)
+    return out
+
+
+def embed(weights: dict[str, np.ndarray], read: Described) -> np.ndarray:
+    n = len(read.count)
+    words = np.zeros((n, DIM), np.float32)
+    if len(read.words):
+        some = np.flatnonzero(read.count)
+        starts = (np.cumsum(read.count) - read.count)[some]
+        words[some] = np.add.reduceat(weights["words"][read.words], starts, axis=0) / read.count[some, None].astype(np.float32)
+    signs = pooled(read.owner, sign_vectors(weights, read.grams), n)
+    return np.concatenate([read.figures, weights["paths"][read.path], weights["inner"][read.inner], words, signs], axis=1)
+
+
+# ---------------------------------------------------------------- the network
+
+
+def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
@@ -228,25 +286,40 @@ def lstm(w: np.ndarray, u: np.ndarray, b: np.ndarray, x: np.ndarray, lengths: np
     for t in range(steps):
         m = int(np.searchsorted(-lengths, -t, "left"))
         z = z_all[t, :m] + h[:m] @ u
-        gates = _sigmoid(z[:, : 3 * size])
+        gates = sigmoid(z[:, : 3 * size])
         c[:m] = gates[:, size : 2 * size] * c[:m] + gates[:, :size] * np.tanh(z[:, 3 * size :])
         h[:m] = gates[:, 2 * size :] * np.tanh(c[:m])
         out[t, :m] = h[:m]
     return out
 
 
-def padded(x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def padded(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(step of each leaf, sequence of each leaf, step read backwards, order of sequences), by falling length."""
     order = np.argsort(-lengths, kind="stable")
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
-    step = np.arange(len(x)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    step = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     return step, np.repeat(place, lengths), np.repeat(lengths, lengths) - 1 - step, order
 
 
 def label(weights: dict[str, np.ndarray], x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(role, probability of markup) of each leaf; ``lengths`` are the sequences' numbers of leaves."""
-    step, seq, back, order = padded(x, lengths)
+    """(role, probability of markup) of each leaf; ``lengths`` are the sequences' numbers of leaves.
+
+    Sequences of like length are padded together, so one of very many leaves doesn't stretch all others.
+    """
+    roles, doubts = np.empty(len(x), np.int64), np.empty(len(x), np.float32)
+    starts, order, done = np.cumsum(lengths) - lengths, np.argsort(-lengths, kind="stable"), 0
+    while done < len(order):
+        some = np.sort(order[done : done + max(1, CELLS // int(lengths[order[done]]))])
+        n = lengths[some]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[some], n)
+        roles[at], doubts[at] = _label(weights, x[at], n)
+        done += len(some)
+    return roles, doubts
+
+
+def _label(weights: dict[str, np.ndarray], x: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    step, seq, back, order = padded(lengths)
     shape = (int(lengths.max()), len(lengths), x.shape[1])
     hidden = []
     for way, at in (("f", step), ("b", back)):
@@ -254,7 +327,7 @@ def label(weights: dict[str, np.ndarray], x: np.ndarray, lengths: np.ndarray) ->
         grid[at, seq] = x
         hidden.append(lstm(weights[f"w{way}"], weights[f"u{way}"], weights[f"v{way}"], grid, lengths[order])[at, seq])
     out = np.concatenate(hidden, axis=1) @ weights["out"] + weights["bias"]
-    return np.argmax(out[:, : len(ROLES)], axis=1), _sigmoid(out[:, -1])
+    return np.argmax(out[:, : len(ROLES)], axis=1), sigmoid(out[:, -1])
 
 
 @lru_cache(maxsize=2)
@@ -263,130 +336,15 @@ def load(path: str | None = None) -> dict[str, np.ndarray]:
         return {k: v.astype(np.float32) for k, v in data.items()}
 
 
-# ---------------------------------------------------------------- clean text
-
-_DROP = frozenset(("comment", "tag", "tag_cut", "wikilink", "strong", "quotes", "under", "strike", "template", "environment", "display", "magic", "rule", "wiki_table", "table_rule", "underline", "fence", "task"))
-_GLYPHS = {"ldots": "…", "dots": "…", "textendash": "–", "textemdash": "—", "item": "\n- ", "textbackslash": "\\", "par": "\n"}
-#: Commands whose arguments are no text of the sentence, and elements that are left out whole.
-_ASIDES = frozenset(("cite", "citep", "citet", "label", "ref", "pageref", "index", "marginpar", "footnote", "includegraphics", "vspace", "hspace", "usepackage", "documentclass"))
-_ELEMENTS = re.compile(r"<(ref|style|script)\b[^<>]*>.*?</\1>|<sup\s[^<>]*\bref[^<>]*>.*?</sup>|<ref\b[^<>]*/>", re.I)
-_ASIDE = re.compile("\2(?:\\[[^\\]]*\\])?(?:\\{[^{}]*\\})*")
-_MARKS = {"'": "\u0301", "`": "\u0300", "^": "\u0302", '"': "\u0308", "~": "\u0303", "=": "\u0304", ".": "\u0307"}
-_LAST = re.compile("\1(?:\\[[^\\]]*\\])?(?:\\{[^{}]*\\}(?=\\{))*\\{([^{}]*)\\}")
-
-
-def _plain(line: str, signs: list[tuple[str, int, int]]) -> str:
-    """A line without its markup signs; what they hold stays."""
-    out, at = [], 0
-    for kind, start, end in signs:
-        if start < at:
-            continue
-        out.append(line[at:start])
-        sign, at = line[start:end], end
-        if kind == "tag" and re.match(r"<(?:br|li|/?p|/?tr|/?h\d)\b", sign, re.I):
-            out.append("\n- " if sign[:3].lower() == "<li" else "\n")
-        elif kind == "tag" and re.match(r"</?t[dh]\b", sign, re.I):
-            out.append(" ")
-        elif kind == "charref":
-            out.append(html.unescape(sign if sign.endswith(";") else sign + ";"))
-        elif kind == "autolink":
-            out.append(sign.strip("<>"))
-        elif kind == "inline":
-            out.append(sign.strip("$"))
-        elif kind == "code":
-            out.append(sign.strip("`"))
-        elif kind == "link":
-            if out and out[-1].endswith("!"):
-                out[-1] = out[-1][:-1]
-            out.append(sign[1 : sign.index("]")])
-        elif kind == "reference":
-            out.append("" if sign.startswith("[^") else sign[1 : sign.index("]")])
-        elif kind == "extlink":
-            close = line.find("]", at)
-            if close >= 0:
-                line = line[:close] + "\0" + line[close + 1 :]
-        elif kind in ("heading", "wiki_heading"):
-            out.append(sign.strip("#= \t") if kind == "wiki_heading" else "")
-        elif kind == "wiki_list":
-            out.append("- ")
-        elif kind == "quote":
-            pass
-        elif kind == "emphasis":
-            out.append(sign.strip("*"))
-        elif kind in ("parameter", "cell", "table_row"):
-            out.append(" ".join(x.strip() for x in sign.split("|") if x.strip()) if kind == "table_row" else sign.strip("|!= ") + (": " if kind == "parameter" else " "))
-        elif kind == "accent":
-            letter = re.sub(r"[\\{}]", "", sign[2:])
-            out.append(letter + _MARKS[sign[1]])
-        elif kind == "command":
-            name = sign[1:].rstrip("*")
-            out.append("\2" if name in _ASIDES else _GLYPHS.get(name, "\1"))
-        elif kind == "escape":
-            out.append(sign[1:] if sign != "\\\\" else "\n")
-        elif kind == "tie":
-            out.append(" ")
-        elif kind == "definition" or kind in _DROP:
-            pass
-        else:
-            out.append(sign)
-    text = "".join([*out, line[at:]]).replace("\0", "")
-    text = _ASIDE.sub("", text) if "\2" in text else text
-    while "\1" in text:  # a command keeps what its last argument says
-        text, again = _LAST.sub(r"\1", text, count=1), text
-        if text == again:
-            text = text.replace("\1", "", 1)
-    text = re.sub(r"(?<=\[)[^\[\]]*\|", "", text) if "[[" in text else text
-    return text
-
-
-_TARGET = re.compile(r"\[\[(?:(?i:file|image|category):[^\]\n]*\]\]|[^\[\]|\n]*\|(?=[^\[\]\n]*\]\]))")
-
-
-def clean(found: list[Leaf], roles: np.ndarray, marked: np.ndarray) -> list[tuple[str, str, int]]:
-    """(role, text, line number) of the leaves of a text, those that are ``marked`` without their markup.
-
-    Code keeps its lines as they stand and formulas their source, both without the signs around them.
-    """
-    out = []
-    for leaf, role, dirty in zip(found, roles, marked, strict=True):
-        name = ROLES[role]
-        line = leaf.line
-        if not dirty:
-            out.append((name if name in ("list", "heading") else "text", line, leaf.number))
-            continue
-        kinds = {k for k, _, _ in leaf.signs}
-        if {"```", "pre"} & set(leaf.path):
-            name = "code"
-        if "```" in leaf.path and "fence" not in kinds:
-            out.append((name, line, leaf.number))
-        elif ("display" in kinds or "math" in leaf.path) and name == "formula":
-            out.append((name, re.sub(r"\$\$|\\[\[\]]", "", line).strip(), leaf.number))
-        else:
-            kept = _ELEMENTS.sub(" ", line) if "tag" in kinds else line
-            kept = _TARGET.sub(lambda m: "" if m[0].endswith("]]") else "[[", kept) if "wikilink" in kinds else kept
-            plain = _plain(kept, leaf.signs if kept is line else scan(kept))
-            for part in plain.split("\n"):
-                if part.strip():
-                    kind = "list" if part.lstrip().startswith("- ") else name
-                    out.append((kind, part.rstrip() if kind == "code" else re.sub(r"[ \t]+", " ", part).strip(), leaf.number))
-    return out
-
-
-def joined(blocks: list[tuple[str, str, int]]) -> str:
-    """The blocks as a text; where blank lines stood between them, one stands."""
-    out, last = [], None
-    for _, text, number in blocks:
-        out.append(("" if last is None else "\n\n" if number > last + 1 else "\n") + text)
-        last = number
-    return "".join(out)
-
+# ---------------------------------------------------------------- the operator
 
 OUT = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
 
 
-def clean_markup(df: DataFrame, key: str = "chunk_ord", text: str = "text", suspicion: float = 0.1, with_text: bool = True, weights: str | None = None) -> DataFrame:
+def clean_markup(df: DataFrame, key: str = "chunk_ord", text: str = "text", least: float = 0.5, with_text: bool = True, weights: str | None = None) -> DataFrame:
     """``key``, has_markup, n_marked and, with ``with_text``, clean_text and blocks of every row.
 
+    ``n_marked`` counts the leaves whose probability of markup is at least ``least``.
     ``blocks`` lists the leaves in order with their roles; ``clean_text`` joins them by
     newlines and blank lines where the text has markup and is the text itself where it has none. Null texts
     give null and no blocks; repeated rows come out as often; other columns are left out.
@@ -402,15 +360,10 @@ def clean_markup(df: DataFrame, key: str = "chunk_ord", text: str = "text", susp
         found = [leaves(x) if x else [] for x in texts]
         lengths = np.array([len(x) for x in found], np.int64)
         flat = [leaf for x in found for leaf in x]
-        marked = np.zeros(len(flat), bool)
-        roles = np.zeros(len(flat), np.int64)
+        marked, roles = np.zeros(len(flat), bool), np.zeros(len(flat), np.int64)
         if flat:
-            some = lengths > 0
-            roles, doubt = label(model, embed(model, *describe(flat)), lengths[some])
-            marked = np.fromiter((p >= suspicion and any(k in MARKUP for k, _, _ in leaf.signs) for p, leaf in zip(doubt, flat, strict=True)), bool, len(flat))
-            for i in range(1, len(flat)):  # within an open fence, template or formula all lines belong to it
-                if not marked[i] and flat[i].path and {"```", "math", "env", "pre"} & set(flat[i].path):
-                    marked[i] = bool(doubt[i] >= suspicion)
+            roles, doubt = label(model, embed(model, Described(flat)), lengths[lengths > 0])
+            marked = doubt >= least
         ends = np.cumsum(lengths)
         n = [int(marked[e - k : e].sum()) for e, k in zip(ends, lengths, strict=True)]
         columns = [keys, pa.array([x > 0 for x in n]), pa.array(n, pa.int64())]
@@ -422,8 +375,7 @@ def clean_markup(df: DataFrame, key: str = "chunk_ord", text: str = "text", susp
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                piece = batch.slice(begin, 512)
+            for piece in slices(batch, 1, 512):
                 yield part(piece.column(0), piece.column(1).to_pylist())
 
     return df.select(key, text).mapInArrow(run, schema)
