@@ -27,13 +27,12 @@ def p1_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = split_oversized(table(spark, folder, "chunks", wide=True), ["chunk_ord", "doc_id", "chunk_id", "section"])
-    return pieces.filter("n_pieces > 1")
+    return split_oversized(table(spark, folder, "chunks", wide=True), ["chunk_ord", "doc_id", "chunk_id", "section"], whole=False)
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    pieces = split_oversized(table(spark, folder, "chunks", wide=True), ["chunk_ord"])
-    return pieces.filter("boundary is not null and piece_no = 0").select("chunk_ord", "boundary")
+    pieces = split_oversized(table(spark, folder, "chunks", wide=True), ["chunk_ord"], whole=False)
+    return pieces.filter("piece_no = 0").select("chunk_ord", "boundary")
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -47,27 +47,28 @@ def cut_pattern(limit: int, overlap: int) -> str:
 def boundary_of(text: Column, limit: int) -> Column:
     """The first of paragraph, line, sentence and word whose trimmed parts all fit ``limit``, else none.
 
-    A part is at most ``limit`` code points that end in none of space, tab, carriage return and
-    newline, up to its boundary. Parts are taken from the front as long as one of the
-    boundaries so far ends them; if nothing is left, all parts fit. A weaker boundary's parts lie
-    within a stronger one's, so what the stronger one used up needn't be looked at again.
+    A part is at most ``limit`` code points, the last no space, tab, carriage return or newline,
+    up to its boundary. Parts of the strongest boundary are taken from the front as long as
+    they fit; if something is left, parts of the next weaker one are taken from that, and so on.
+    A weaker boundary's parts lie within a stronger one's, so what is used up needn't be looked
+    at again, and each level reads no character much more than once.
     """
     blank, inked = r"[ \t\r\n]", r"(?<![ \t\r\n])"
     parts = {
         "paragraph": rf"(?s:.{{1,{limit}}}?){inked}(?:[ \t\r]*+\n[ \t\r]*+\n|{blank}*+\z)",
         "line": rf"[^\n]{{1,{limit}}}?{inked}[ \t\r]*+(?:\n|\z)",
-        "sentence": rf"[^\n]{{1,{limit}}}?(?<=[.!?])[ \t\r]++",
+        "sentence": rf"[^\n]{{1,{limit}}}?{inked}(?:[ \t\r]*+(?:\n|\z)|(?<=[.!?])[ \t\r]++)",
         "word": rf"[^ \t\r\n]{{1,{limit}}}+(?:{blank}|\z)",
     }
-    found, rest, some = F.lit("none"), text, []
-    steps = []
-    for name, part in parts.items():
-        some.append(part)
-        rest = F.regexp_replace(rest, rf"\G{blank}*+(?:\z|{'|'.join(some)})", "")
-        steps.append((name, rest))
-    for name, left in reversed(steps):
-        found = F.when(left == "", F.lit(name)).otherwise(found)
-    return found
+
+    def level(names: list[str], rest: Column) -> Column:
+        if not names:
+            return F.lit("none")
+        left = F.regexp_replace(rest, rf"\G{blank}*+(?:\z|{parts[names[0]]})", "")
+        # a lambda over one element names what is left, so that it is computed once
+        return F.get(F.transform(F.array(left), lambda x: F.when(x == "", F.lit(names[0])).otherwise(level(names[1:], x))), F.lit(0))
+
+    return level(list(parts), text)
 
 
 def split_oversized(
@@ -76,13 +77,15 @@ def split_oversized(
     text: str = "text",
     limit: int = 1800,
     overlap: int = 250,
+    whole: bool = True,
 ) -> DataFrame:
     """Pieces of every row of ``df``: ``keys`` then piece_no, n_pieces, piece, n_new, boundary.
 
     * ``piece_no`` counts from 0; ``n_new`` is the number of code points of the piece that
       the piece before doesn't hold, so the last ``n_new`` of all pieces, put together, are
       the text again.
-    * A text of at most ``limit`` code points is its own only piece, with a null boundary.
+    * A text of at most ``limit`` code points is its own only piece, with a null boundary;
+      without ``whole`` such texts, null ones and empty ones are left out.
     * A null text gives one row with a null piece, an empty text one with an empty piece.
     * Repeated rows are split each for itself; an empty table gives no rows.
     * Other columns of ``df`` are left out, so their names can't clash.
@@ -98,10 +101,12 @@ def split_oversized(
         return F.struct(F.concat(F.right(before, F.lit(overlap)), cut).alias("piece"), F.length(cut).alias("n_new"))
 
     pieces = F.transform("__cuts", piece) if overlap else F.transform("__cuts", lambda cut: F.struct(cut.alias("piece"), F.length(cut).alias("n_new")))
+    # an inner explode would have the optimizer compute the pieces once more, to filter out empty arrays, of which there are none
     return (
-        df.select(*keys, F.when(over, cuts).otherwise(F.array(body)).alias("__cuts"), F.when(over, boundary_of(body, limit)).alias("__boundary"))
+        (df if whole else df.filter(over))
+        .select(*keys, F.when(over, cuts).otherwise(F.array(body)).alias("__cuts"), F.when(over, boundary_of(body, limit)).alias("__boundary"))
         .select(*keys, "__boundary", pieces.alias("__pieces"))
-        .select(*keys, "__boundary", F.size("__pieces").cast("bigint").alias("n_pieces"), F.posexplode("__pieces").alias("piece_no", "__piece"))
+        .select(*keys, "__boundary", F.size("__pieces").cast("bigint").alias("n_pieces"), F.posexplode_outer("__pieces").alias("piece_no", "__piece"))
         .select(
             *keys,
             F.col("piece_no").cast("bigint").alias("piece_no"),
