@@ -37,11 +37,27 @@ def test_winners_as_brute_force(spark):
     assert sorted(map(tuple, majority_winners(df).collect())) == slow(rows)
 
 
-def test_a_query_larger_than_a_block(spark):
+def test_a_large_query(spark):
     rows = [("hot", f"c{i}", s, float((i * 7919) % 1000 if s == "a" else i), 0) for i in range(1000) for s in ("a", "b", "c")]
     assert [r["chunk_id"] for r in majority_winners(spark.createDataFrame(rows, KIND)).collect()] == ["c999"]
 
 
+def test_a_winner_whom_the_ranking_puts_last(spark):
+    # c beats each other item narrowly in a and b, while those are far ahead in d
+    rows = [("q", "c", "a", 100.0, 0), ("q", "c", "b", 100.0, 0), ("q", "c", "d", 0.0, 0)]
+    rows += [("q", f"x{i}", s, v, 0) for i in range(60) for s, v in (("a", 99.0), ("b", 99.0), ("d", 900.0 + i))]
+    df = spark.createDataFrame(rows, KIND)
+    assert ideal_point_ranking(df).filter("chunk_id = 'c'").first()["rank"] > 1
+    assert [r["chunk_id"] for r in majority_winners(df).collect()] == ["c"]
+
+
+def test_rounds_stay_few_without_a_winner(spark):
+    # three in a circle at the top of many: everyone is beaten by someone
+    rows = [("q", f"i{i:03}", s, float((i + shift) % 300), 0) for i in range(300) for s, shift in (("a", 0), ("b", 100), ("d", 200))]
+    df = spark.createDataFrame(rows, KIND)
+    assert majority_winners(df, rounds=40).count() == 0
+
+
 def test_scale_of_a_scorer_does_not_matter(spark):
     rng = random.Random(1)
     rows = [(f"q{q}", f"c{c}", s, rng.random(), 0) for q in range(5) for c in range(20) for s in ("a", "b", "c")]
