@@ -1,21 +1,28 @@
 """Near-duplicate records with small edits (problem 3).
 
 Improved consistent weighted sampling over TF-IDF weighted shingles of three words, banded;
-candidates are verified by their similarity. Steps, all distributed:
-
-1. Copies. Texts with equal words form a class, named by a hash of their words. A task
-   sketches a class once; everything below works on classes, so a text copied over a third
-   of the rows is one class in one row per task.
-2. Document frequencies of all rows, hashed to ``df_buckets`` counters. The table has that
-   fixed size whatever the input, and is the only thing that is collected and broadcast.
+candidates are verified by their weighted Jaccard similarity. Steps, all distributed:
+
+1. Copies. Texts with equal words form a class, named by a hash of their words; everything
+   below works on classes, so a text copied over a third of the rows is one class.
+2. Document frequencies of all rows, as a count-min sketch of two rows of ``width`` counters
+   each. An estimate is never too low, and too high by more than k times the mean load of a
+   counter with a probability of at most 1 / k ** 2. Tasks' counters are added up by
+   a grouped sum; only the sum, whose size is fixed, is collected and broadcast.
    The same pass gives each row's class.
 3. Sketch: ``bands * rows`` consistent weighted samples per class in numpy, whole batches at
-   a time; a band's ``rows`` samples are mixed to one number.
-4. Band numbers are shuffled once, duplicates fall away, and equal numbers are joined in
-   the same partitioning. Spark's adaptive skew join splits a hot number over tasks; there
-   is no cap on a bucket and no pair is left out.
+   a time; a band's ``rows`` samples are mixed to one number. Classes that several tasks
+   met are made one before their bands become rows.
+4. Equal band numbers are joined. Nothing stands between the shuffle and the join, so Spark's
+   adaptive skew join splits a hot number over tasks; there is no cap on a bucket and no pair is left out.
 5. Each candidate pair of classes is verified on its whole texts.
 
+Weights. A shingle weighs its saturated count, 1.2 tf / (tf + 0.2), times 1 plus its share of
+the highest inverse document frequency: between 1 and 2.4. The bound matters: plain TF-IDF lets the
+shingles of a text that fills a third of the table weigh next to nothing against a small
+edit, so that its edited copies would be unlike by weight. With it, sets that overlap by t
+have a weighted similarity of at least 1 / (1.2 + 2.4 (1 - t) / t), which ``least_weighted`` gives.
+
 The samples draw their three random variates per shingle and sample from a pool of 16,384
 seeded rows, picked by the shingle's hash; a sample's identity stays the full hash and its
 step, so two shingles that share a row are never taken for one another.
@@ -28,18 +35,17 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skerry.session import cut
+from skerry.session import cut, slices
 
 POOL = 1 << 14
 BLOCK = 1024
 BATCH = 2048
-COUNTS = 4096
+SATURATION, SPREAD = 0.2, 2.4
 _U = np.uint64
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]+")
@@ -145,156 +151,195 @@ def sketch(row: np.ndarray, value: np.ndarray, weight: np.ndarray, pool, bands:
     return row[starts], numbers
 
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for begin in range(0, batch.num_rows, BATCH):
-            yield batch.slice(begin, BATCH)
-
-
-def first_pass(rows: DataFrame, width: int, df_buckets: int) -> DataFrame:
-    """__key and __class of every row with ``width`` words, and each task's document frequencies by block of counters."""
-    names = ["__key", "__class", "__block", "__counts"]
+def first_pass(rows: DataFrame, width: int, counters: int) -> DataFrame:
+    """__key and __class of every row with ``width`` words, and each task's counters, packed."""
+    names = ["__key", "__class", "__rows", "__counts"]
     kind = rows.schema[0].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(df_buckets, np.int64), 0
+        counts, n = np.zeros((2, counters), np.int64), 0
         key_type = None
-        for batch in _batches(batches):
-            flat, offsets = hashed_words(batch.column(1).to_pylist())
-            key_type = batch.column(0).type
-            long = np.flatnonzero(np.diff(offsets) >= width)
-            n += len(long)
-            _, value, _ = shingles_of(flat, offsets, width)
-            counts += np.bincount((value & _U(df_buckets - 1)).astype(np.int64), minlength=df_buckets)
-            keys = batch.column(0).take(pa.array(long))
-            empty = pa.nulls(len(long), pa.int32()), pa.nulls(len(long), pa.binary())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(classes_of(flat, offsets)[long]), *empty], names=names)
+        for batch in batches:
+            for part in slices(batch, 1, BATCH):
+                flat, offsets = hashed_words(part.column(1).to_pylist())
+                key_type = part.column(0).type
+                long = np.flatnonzero(np.diff(offsets) >= width)
+                n += len(long)
+                _, value, _ = shingles_of(flat, offsets, width)
+                for i, slot in enumerate(slots(value, counters)):
+                    counts[i] += np.bincount(slot, minlength=counters)
+                keys = part.column(0).take(pa.array(long))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(classes_of(flat, offsets)[long]), pa.nulls(len(long), pa.int64()), pa.nulls(len(long), pa.binary())], names=names)
         if key_type is not None:
-            cells = [zlib.compress(counts[i : i + COUNTS].tobytes(), 1) for i in range(0, df_buckets, COUNTS)]
-            cells.append(zlib.compress(np.array([n]).tobytes(), 1))
-            none = pa.nulls(len(cells), key_type), pa.nulls(len(cells), pa.int64())
-            yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(cells)), pa.int32()), pa.array(cells, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, key_type), pa.nulls(1, pa.int64()), pa.array([n]), pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())], names=names)
 
-    return rows.mapInArrow(run, f"__key {kind.simpleString()}, __class bigint, __block int, __counts binary")
+    return rows.mapInArrow(run, f"__key {kind.simpleString()}, __class bigint, __rows bigint, __counts binary")
 
 
-def document_frequencies(first: DataFrame, df_buckets: int) -> tuple[np.ndarray, int]:
-    """(hashed document frequencies, number of rows with shingles): the tasks' tables added up, block by block."""
+def slots(value: np.ndarray, counters: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counter of each shingle in either row of the sketch."""
+    other = _mix(value + _GOLDEN)
+    return (value & _U(counters - 1)).astype(np.int64), (other & _U(counters - 1)).astype(np.int64)
 
-    def add(cells: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(zlib.decompress(x), np.int64) for x in cells["__counts"])
-        return pd.DataFrame({"__block": [cells["__block"].iloc[0]], "__counts": [total.tobytes()]})
 
-    got = first.filter("__block is not null").select("__block", "__counts").groupBy("__block").applyInPandas(add, "__block int, __counts binary")
-    blocks = {r["__block"]: np.frombuffer(r["__counts"], np.int64) for r in got.collect()}
-    if not blocks:
-        return np.zeros(df_buckets, np.int64), 0
-    *tables, n = (blocks[i] for i in range(len(blocks)))
-    return np.concatenate(tables), int(n[0])
+class Weights:
+    """Weights of shingles by their estimated document frequencies."""
 
+    def __init__(self, counts: np.ndarray, n: int):
+        self.counters = counts.shape[1]
+        floor = counts[0].sum() / self.counters  # frequencies below a counter's mean load can't be told apart
+        most = max(np.log((n + 1) / (floor + 1)), 1e-9)
+        share = np.log((n + 1) / (np.maximum(counts, floor) + 1)) / most
+        self.idf = (1 + np.clip(share, 0, 1)).astype(np.float32)
 
-def band_numbers(rows: DataFrame, first: DataFrame, width: int, bands: int, per_band: int, df_buckets: int, seed: int) -> DataFrame:
-    """__band, __class and __n (different shingles) of each class that a task meets, for each band.
+    def of(self, value: np.ndarray, times: np.ndarray) -> np.ndarray:
+        one, two = slots(value, self.counters)
+        # the lower count has the higher weight
+        return np.maximum(self.idf[0, one], self.idf[1, two]) * ((1 + SATURATION) * times / (times + SATURATION)).astype(np.float32)
 
-    A shingle weighs 1 plus its share of the highest possible inverse document frequency, so
-    at most twice as much as another: else the shingles of a text that fills a third of the
-    table would weigh next to nothing against a small edit.
-    """
-    table, n = document_frequencies(first, df_buckets)
-    idf = (1 + np.log((n + 1) / (table + 1.0)) / np.log(n + 2)).astype(np.float32)
-    shared = rows.sparkSession.sparkContext.broadcast(idf)  # df_buckets numbers
+
+def least_weighted(overlap: float) -> float:
+    """The least weighted similarity that sets of that overlap can have."""
+    return 1 / (1 + SATURATION + SPREAD * (1 - overlap) / overlap)
+
+
+def weights_of(first: DataFrame, counters: int) -> Weights:
+    """The tasks' counters, added up by a grouped sum with map-side combining; 2 * ``counters`` numbers are collected."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for packed in batch.column(0).to_pylist():
+                counts = np.frombuffer(zlib.decompress(packed), np.int64)
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["__slot", "__count"])
+
+    packed = first.filter("__counts is not null")
+    n = packed.agg(F.sum("__rows")).first()[0] or 0
+    got = packed.select("__counts").mapInArrow(unpack, "__slot int, __count bigint").groupBy("__slot").agg(F.sum("__count").alias("__count")).toArrow()
+    counts = np.zeros(2 * counters, np.int64)
+    counts[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    return Weights(counts.reshape(2, counters), n)
+
+
+def sketches(rows: DataFrame, shared, width: int, bands: int, per_band: int, seed: int) -> DataFrame:
+    """__class, __n (different shingles) and __bands of each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool, known, weights = _pool(bands * per_band, seed), set(), shared.value
-        for batch in _batches(batches):
-            flat, offsets = hashed_words(batch.column(1).to_pylist())
-            classes = classes_of(flat, offsets)
-            new = []
-            for i in np.flatnonzero(np.diff(offsets) >= width).tolist():
-                if classes[i] not in known:
-                    known.add(classes[i])
-                    new.append(i)
-            if len(known) > 1_000_000:  # a class that is sketched again falls away in the next step
-                known.clear()
-            if not new:
-                continue
-            owner, value, times = shingles_of(flat, offsets, width)
-            wanted = np.zeros(len(classes), bool)
-            wanted[new] = True
-            owner, value, times = (x[wanted[owner]] for x in (owner, value, times))
-            weight = (1 + np.log(times)) * weights[(value & _U(df_buckets - 1)).astype(np.int64)]
-            at, numbers = sketch(owner, value, weight, pool, bands)
-            sizes = np.bincount(owner, minlength=len(classes)).astype(np.int32)
-            columns = [numbers.ravel().view(np.int64), np.repeat(classes[at], bands), np.repeat(sizes[at], bands)]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["__band", "__class", "__n"])
-
-    return rows.mapInArrow(run, "__band bigint, __class bigint, __n int")
-
-
-def candidate_pairs(numbers: DataFrame, threshold: float) -> DataFrame:
+        for batch in batches:
+            for part in slices(batch, 1, BATCH):
+                flat, offsets = hashed_words(part.column(1).to_pylist())
+                classes = classes_of(flat, offsets)
+                new = []
+                for i in np.flatnonzero(np.diff(offsets) >= width).tolist():
+                    if classes[i] not in known:
+                        known.add(classes[i])
+                        new.append(i)
+                if len(known) > 1_000_000:  # a class that is sketched again falls away in the next step
+                    known.clear()
+                if not new:
+                    continue
+                owner, value, times = shingles_of(flat, offsets, width)
+                wanted = np.zeros(len(classes), bool)
+                wanted[new] = True
+                owner, value, times = (x[wanted[owner]] for x in (owner, value, times))
+                at, numbers = sketch(owner, value, weights.of(value, times), pool, bands)
+                sizes = np.bincount(owner, minlength=len(classes)).astype(np.int32)
+                packed = pa.ListArray.from_arrays(pa.array(np.arange(0, numbers.size + 1, bands, dtype=np.int32)), pa.array(numbers.ravel().view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(classes[at]), pa.array(sizes[at]), packed], names=["__class", "__n", "__bands"])
+
+    return rows.mapInArrow(run, "__class bigint, __n int, __bands array<bigint>").dropDuplicates(["__class"])
+
+
+def candidate_pairs(sketched: DataFrame, alike: float) -> DataFrame:
     """__a, __b: different classes that share a band number, each pair once.
 
-    Sets whose sizes alone rule the similarity out are no pair.
+    Sets of which the smaller has less than ``alike`` of the greater are no pair.
     """
-    numbers = numbers.repartition("__band").distinct()
+    numbers = sketched.select(F.explode("__bands").alias("__band"), "__class", "__n")
     left = numbers.select("__band", F.col("__class").alias("__a"), F.col("__n").alias("__n_a"))
     right = numbers.select("__band", F.col("__class").alias("__b"), F.col("__n").alias("__n_b"))
-    near = F.least("__n_a", "__n_b") >= F.greatest("__n_a", "__n_b") * threshold - 1e-6
+    near = F.least("__n_a", "__n_b") >= F.greatest("__n_a", "__n_b") * alike - 1e-6
     return left.join(right, "__band").filter((F.col("__a") < F.col("__b")) & near).select("__a", "__b").distinct()
 
 
-def overlaps(pairs: DataFrame, width: int) -> DataFrame:
-    """Of __a, __b, __text_a, __text_b: __a, __b, __similarity of the sets of shingles."""
+def similarities(pairs: DataFrame, shared, width: int) -> DataFrame:
+    """Of __a, __b, __text_a, __text_b: __a, __b, __similarity (weighted Jaccard) and __overlap (of the sets of shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _batches(batches):
-            sides = [shingles_of(*hashed_words(batch.column(i).to_pylist()), width)[:2] for i in (2, 3)]
-            row, value = (np.concatenate(x) for x in zip(*sides, strict=True))
-            order = np.lexsort((value, row))
-            row, value = row[order], value[order]
-            same = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
-            common = np.bincount(row[1:][same], minlength=batch.num_rows)
-            total = np.bincount(row, minlength=batch.num_rows) - common
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common / np.maximum(total, 1))], names=["__a", "__b", "__similarity"])
-
-    return pairs.select("__a", "__b", "__text_a", "__text_b").mapInArrow(run, "__a bigint, __b bigint, __similarity double")
+        for batch in batches:
+            for part in slices(batch, 2, BATCH):
+                sides = [shingles_of(*hashed_words(part.column(i).to_pylist()), width) for i in (2, 3)]
+                row, value, times = (np.concatenate(x) for x in zip(*sides, strict=True))
+                weight = shared.value.of(value, times).astype(np.float64)
+                order = np.lexsort((value, row))
+                row, value, weight = row[order], value[order], weight[order]
+                same = (row[1:] == row[:-1]) & (value[1:] == value[:-1])
+                n = part.num_rows
+                common = np.bincount(row[1:][same], minlength=n)
+                total = np.bincount(row, minlength=n) - common
+                least = np.bincount(row[1:][same], np.minimum(weight[1:], weight[:-1])[same], n)
+                most = np.bincount(row, weight, n) - least
+                columns = [part.column(0), part.column(1), pa.array(least / np.maximum(most, 1e-300)), pa.array(common / np.maximum(total, 1))]
+                yield pa.RecordBatch.from_arrays(columns, names=["__a", "__b", "__similarity", "__overlap"])
+
+    return pairs.select("__a", "__b", "__text_a", "__text_b").mapInArrow(run, "__a bigint, __b bigint, __similarity double, __overlap double")
 
 
 def near_copies(
     df: DataFrame, key: str = "chunk_ord", text: str = "text", threshold: float = 0.7, width: int = 3,
-    bands: int = 24, per_band: int = 4, df_buckets: int = 1 << 18, seed: int = 7,
+    bands: int = 24, per_band: int = 4, counters: int = 1 << 17, seed: int = 7, by: str = "similarity",
 ) -> tuple[DataFrame, DataFrame]:
     """(pairs, members): verified pairs of classes and every row's class.
 
-    ``pairs`` has class_a, class_b (a < b) and similarity, at least ``threshold``; ``members``
+    ``pairs`` has class_a, class_b (a < b), similarity (weighted Jaccard) and overlap (of the
+    sets of shingles); the one that ``by`` names is at least ``threshold``. ``members``
     has ``key`` and class of every row with at least ``width`` words. Rows of one class have
     equal words and so similarity 1. Null, empty and shorter texts and rows without a key are
     in no class; an empty table gives two empty tables; other columns of ``df`` are left out.
     """
+    if by not in ("similarity", "overlap"):
+        raise ValueError("by is similarity or overlap")
     rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).filter("__key is not null and __text is not null")
-    first = cut(first_pass(rows, width, df_buckets))
+    first = cut(first_pass(rows, width, counters))
     members = first.filter("__class is not null").select("__key", "__class")
-    pairs = cut(candidate_pairs(band_numbers(rows, first, width, bands, per_band, df_buckets, seed), threshold))
+    shared = df.sparkSession.sparkContext.broadcast(weights_of(first, counters))
+    sketched = sketches(rows, shared, width, bands, per_band, seed)
+    pairs = cut(candidate_pairs(sketched, threshold if by == "overlap" else threshold / SPREAD))
     involved = pairs.select(F.explode(F.array("__a", "__b")).alias("__class")).distinct()
-    speaker = members.join(involved, "__class").groupBy("__class").agg(F.min("__key").alias("__key"))
+    speaker = members.groupBy("__class").agg(F.min("__key").alias("__key")).join(involved, "__class", "left_semi")
     texts = cut(rows.join(speaker, "__key").select("__class", "__text").dropDuplicates(["__class"]))
     both = pairs.join(texts.select(F.col("__class").alias("__a"), F.col("__text").alias("__text_a")), "__a")
     both = both.join(texts.select(F.col("__class").alias("__b"), F.col("__text").alias("__text_b")), "__b")
-    found = overlaps(both, width).filter(F.col("__similarity") >= threshold)
+    found = similarities(both, shared, width)
+    if by == "overlap":  # by the bound on the weights, the first condition drops no such pair
+        found = found.filter((F.col("__similarity") >= least_weighted(threshold) - 1e-9) & (F.col("__overlap") >= threshold))
+    else:
+        found = found.filter(F.col("__similarity") >= threshold)
     return (
-        found.select(F.col("__a").alias("class_a"), F.col("__b").alias("class_b"), F.col("__similarity").alias("similarity")),
+        found.select(F.col("__a").alias("class_a"), F.col("__b").alias("class_b"), F.col("__similarity").alias("similarity"), F.col("__overlap").alias("overlap")),
         members.select(F.col("__key").alias(key), F.col("__class").alias("class")),
     )
 
 
-def row_pairs(pairs: DataFrame, members: DataFrame, key: str = "chunk_ord") -> DataFrame:
-    """key_a, key_b (a < b) of every pair of rows: of verified pairs of classes, and within a class."""
-    one, two = (members.select(F.col("class").alias(f"class_{x}"), F.col(key).alias(f"__{x}")) for x in "ab")
-    across = pairs.select("class_a", "class_b").join(one, "class_a").join(two, "class_b").select("__a", "__b")
-    copied = members.groupBy("class").agg(F.count("*").alias("__n")).filter("__n > 1").select("class")
-    within = members.join(copied, "class").select(F.col("class"), F.col(key).alias("__a"))
-    within = within.join(within.select("class", F.col("__a").alias("__b")), "class").filter("__a < __b").select("__a", "__b")
-    return across.unionByName(within).select(F.least("__a", "__b").alias(f"{key}_a"), F.greatest("__a", "__b").alias(f"{key}_b"))
+def row_pairs(pairs: DataFrame, members: DataFrame, key: str = "chunk_ord", block: int = 4096) -> DataFrame:
+    """key_a, key_b (a < b) of every pair of rows: of verified pairs of classes, and within a class.
+
+    The rows of a class of more than ``block`` rows are spread over salts, and a pair of
+    classes over the pairs of their salts, so that a class of a third of all rows is many
+    small joins.
+    """
+    sizes = members.groupBy("class").agg(F.count("*").alias("__n")).select("class", F.ceil(F.col("__n") / block).cast("int").alias("__salts"), "__n")
+    salted = members.join(sizes, "class").select("class", F.col(key).alias("__key"), F.expr("pmod(xxhash64(__key), __salts)").cast("int").alias("__salt"))
+    one, two = (sizes.select(F.col("class").alias(f"class_{x}"), F.col("__salts").alias(f"__salts_{x}")) for x in "ab")
+    within = sizes.filter("__n > 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
+    units = pairs.select("class_a", "class_b").unionByName(within).join(one, "class_a").join(two, "class_b")
+    cells = units.withColumn("__salt_a", F.explode(F.sequence(F.lit(0), F.col("__salts_a") - 1)))
+    cells = cells.withColumn("__salt_b", F.explode(F.sequence(F.lit(0), F.col("__salts_b") - 1))).select("class_a", "__salt_a", "class_b", "__salt_b")
+    left, right = (salted.select(F.col("class").alias(f"class_{x}"), F.col("__salt").alias(f"__salt_{x}"), F.col("__key").alias(f"__{x}")) for x in "ab")
+    met = cells.join(left, ["class_a", "__salt_a"]).join(right, ["class_b", "__salt_b"])
+    met = met.filter("class_a <> class_b or __a < __b")
+    return met.select(F.least("__a", "__b").alias(f"{key}_a"), F.greatest("__a", "__b").alias(f"{key}_b"))
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:

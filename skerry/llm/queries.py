@@ -36,7 +36,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return row_pairs(*near_copies(table(spark, folder, "chunks", wide=True)))
+    return row_pairs(*near_copies(table(spark, folder, "chunks", wide=True), by="overlap"))
 
 
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
