@@ -35,6 +35,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -46,6 +47,7 @@ POOL = 1 << 14
 BLOCK = 1024
 BATCH = 2048
 SATURATION, SPREAD = 0.2, 2.4
+LANES, SIEVE = 64, 1 << 25
 _U = np.uint64
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _WORD = re.compile(r"[^\W_]+")
@@ -206,18 +208,21 @@ def least_weighted(overlap: float) -> float:
 def weights_of(first: DataFrame, counters: int) -> Weights:
     """The tasks' counters, added up by a grouped sum with map-side combining; 2 * ``counters`` numbers are collected."""
 
+    names = [f"c{i}" for i in range(LANES)]
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for packed in batch.column(0).to_pylist():
-                counts = np.frombuffer(zlib.decompress(packed), np.int64)
-                at = np.flatnonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["__slot", "__count"])
+                counts = np.frombuffer(zlib.decompress(packed), np.int64).reshape(-1, LANES)
+                at = np.flatnonzero(counts.any(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(x) for x in counts[at].T)], names=["__block", *names])
 
     packed = first.filter("__counts is not null")
     n = packed.agg(F.sum("__rows")).first()[0] or 0
-    got = packed.select("__counts").mapInArrow(unpack, "__slot int, __count bigint").groupBy("__slot").agg(F.sum("__count").alias("__count")).toArrow()
-    counts = np.zeros(2 * counters, np.int64)
-    counts[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    rows = packed.select("__counts").mapInArrow(unpack, "__block int, " + ", ".join(f"{c} bigint" for c in names))
+    got = rows.groupBy("__block").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    counts = np.zeros((2 * counters // LANES, LANES), np.int64)
+    counts[got.column(0).to_numpy()] = np.stack([got.column(1 + i).to_numpy() for i in range(LANES)], axis=1)
     return Weights(counts.reshape(2, counters), n)
 
 
@@ -251,6 +256,25 @@ def sketches(rows: DataFrame, shared, width: int, bands: int, per_band: int, see
     return rows.mapInArrow(run, "__class bigint, __n int, __bands array<bigint>").dropDuplicates(["__class"])
 
 
+def sieved(rows: DataFrame, wanted: DataFrame, key: str, bits: int = SIEVE) -> DataFrame:
+    """``rows`` without most of those whose ``key`` isn't in ``wanted``: a bitmap of ``bits`` hashes, a fixed size, is broadcast.
+
+    It only spares a shuffle of rows that a join drops anyway. When it is full, it spares nothing.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    words = wanted.select(place.alias("__p")).groupBy(F.floor(F.col("__p") / 32).cast("int").alias("__w")).agg(F.expr("bit_or(shiftleft(1L, cast(__p % 32 as int)))").alias("__b")).toArrow()
+    bitmap = np.zeros(bits // 32, np.uint32)
+    bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy().astype(np.uint32)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def kept(p: pd.Series) -> pd.Series:
+        at = p.to_numpy()
+        return pd.Series((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1 == 1)
+
+    return rows.filter(kept(place))
+
+
 def candidate_pairs(sketched: DataFrame, alike: float) -> DataFrame:
     """__a, __b: different classes that share a band number, each pair once.
 
@@ -307,8 +331,8 @@ def near_copies(
     sketched = sketches(rows, shared, width, bands, per_band, seed)
     pairs = cut(candidate_pairs(sketched, threshold if by == "overlap" else threshold / SPREAD))
     involved = pairs.select(F.explode(F.array("__a", "__b")).alias("__class")).distinct()
-    speaker = members.groupBy("__class").agg(F.min("__key").alias("__key")).join(involved, "__class", "left_semi")
-    texts = cut(rows.join(speaker, "__key").select("__class", "__text").dropDuplicates(["__class"]))
+    speaker = cut(members.groupBy("__class").agg(F.min("__key").alias("__key")).join(involved, "__class", "left_semi"))
+    texts = cut(sieved(rows, speaker, "__key").join(speaker, "__key").select("__class", "__text").dropDuplicates(["__class"]))
     both = pairs.join(texts.select(F.col("__class").alias("__a"), F.col("__text").alias("__text_a")), "__a")
     both = both.join(texts.select(F.col("__class").alias("__b"), F.col("__text").alias("__text_b")), "__b")
     found = similarities(both, shared, width)
@@ -316,8 +340,9 @@ def near_copies(
         found = found.filter((F.col("__similarity") >= least_weighted(threshold) - 1e-9) & (F.col("__overlap") >= threshold))
     else:
         found = found.filter(F.col("__similarity") >= threshold)
+    found = cut(found.select(F.col("__a").alias("class_a"), F.col("__b").alias("class_b"), F.col("__similarity").alias("similarity"), F.col("__overlap").alias("overlap")))
     return (
-        found.select(F.col("__a").alias("class_a"), F.col("__b").alias("class_b"), F.col("__similarity").alias("similarity"), F.col("__overlap").alias("overlap")),
+        found,
         members.select(F.col("__key").alias(key), F.col("__class").alias("class")),
     )
 
@@ -329,7 +354,9 @@ def row_pairs(pairs: DataFrame, members: DataFrame, key: str = "chunk_ord", bloc
     classes over the pairs of their salts, so that a class of a third of all rows is many
     small joins.
     """
-    sizes = members.groupBy("class").agg(F.count("*").alias("__n")).select("class", F.ceil(F.col("__n") / block).cast("int").alias("__salts"), "__n")
+    linked = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).distinct().withColumn("__linked", F.lit(True))
+    sizes = members.groupBy("class").agg(F.count("*").alias("__n")).join(linked, "class", "left").filter("__n > 1 or __linked")
+    sizes = cut(sizes.select("class", F.ceil(F.col("__n") / block).cast("int").alias("__salts"), "__n"))
     salted = members.join(sizes, "class").select("class", F.col(key).alias("__key"), F.expr("pmod(xxhash64(__key), __salts)").cast("int").alias("__salt"))
     one, two = (sizes.select(F.col("class").alias(f"class_{x}"), F.col("__salts").alias(f"__salts_{x}")) for x in "ab")
     within = sizes.filter("__n > 1").select(F.col("class").alias("class_a"), F.col("class").alias("class_b"))
@@ -375,7 +402,6 @@ def near_copy_groups(df: DataFrame, key: str = "chunk_ord", text: str = "text",
     (rows with equal words) of every row of a class; alone in their group are rows without a link.
     """
     pairs, members = near_copies(df, key, text, **options)
-    pairs = cut(pairs)
     roots = components(pairs.select(F.col("class_a").alias("__a"), F.col("class_b").alias("__b")))
     links = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class")).groupBy("class").agg(F.count("*").alias("n_links"))
     copies = members.groupBy("class").agg(F.count("*").alias("n_copies"))
