@@ -2,7 +2,7 @@ import random
 import re
 from collections import defaultdict
 
-from skerry.llm.site_lines import found_lines, without_repeated_lines
+from skerry.llm.site_lines import bitmaps_of, found_lines, repeated_lines, without_repeated_lines
 
 KIND = "chunk_ord bigint, doc_id string, text string, line_no int"
 
@@ -54,6 +54,19 @@ def test_more_documents_than_one_container(spark):
     assert found_lines(df).count() == 4445
 
 
+def test_containers_are_short_or_dense(spark):
+    lines, bitmaps = repeated_lines(spark.range(40_000).selectExpr("id as chunk_ord", "concat('w__', id, '.md') as doc_id", "case when id % 5 = 0 then 'common ' || (id % 3) when id < 6000 then 'early' else 'x' || uuid() end as text", "1 as line_no"))
+    got = {r["__norm"]: r for r in bitmaps.collect()}
+    assert got["common 0"]["__bits"] is not None and got["common 0"]["__numbers"] is None and got["common 0"]["n_docs"] == 8000
+    few = bitmaps_of(spark.createDataFrame([("w", "a", True, v, n) for v, n in ((1, 5), (2, 5), (2, 70_000), (1, 9))], "__wiki string, __norm string, __few boolean, __variant bigint, __no bigint"))
+    assert sorted((r["__bucket"], list(r["__numbers"]), r["__size"]) for r in few.collect()) == [(0, [5, 9], 2), (2, [70_000 - 65_536], 1)]
+
+
+def test_many_sources(spark):
+    df = spark.range(600_000).selectExpr("id as chunk_ord", "concat('w', id div 6, '__', id, '.md') as doc_id", "case when id % 6 = 5 and id div 6 % 2 = 0 then 'own' else 'line of ' || (id div 6) end as text", "1 as line_no")
+    assert found_lines(df).count() == 50_000 * 5 + 50_000 * 6
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], KIND)
     assert found_lines(df).count() == 0 and without_repeated_lines(df).count() == 0
