@@ -1,15 +1,18 @@
 """Abusive, hateful or sexual content (problem 8).
 
 FTRL-proximal logistic regression over hashed word n-grams (one to three words) and
-skip-grams, with per-coordinate rates and L1, so that few weights differ from zero. It
-scores sentences; a document's score is its highest sentence's. Reviewers judge documents,
-so training looks for the sentence that a positive verdict is about: all sentences of
-rejected documents are negatives, and in turns the best-scoring sentences of an accepted
-document are its positives.
-
-The model is fitted on the driver on at most ``max_labelled`` reviewed documents (the bound
-is a parameter; reviewers' verdicts are few) plus the seed sentences below. Scoring covers
-every document: one batched projection with a broadcast table of ``2 ** bits`` weights.
+skip-grams, with per-coordinate rates and L1, so that few weights differ from zero. A
+document's score is that of its worst run: every run of at most ``RUN`` words of a sentence,
+from whatever word, is scored by the features that begin in it. A sentence shorter than that is
+one run, so sentences of all lengths go by the same rule. Reviewers judge documents, so
+training looks for the run that a positive verdict is about: all runs of rejected documents
+are negatives, and in turns the best-scoring runs of an accepted document are its positives.
+
+The model is fitted once, by ``abuse_train`` on at most ``MOST_LABELLED`` reviewed documents
+plus the seed sentences below, and lies beside this module: the features with a weight
+other than zero, some kilobytes, which is what is broadcast. ``fit_documents`` fits one on
+the verdicts of other tables. Scoring covers every document and whole texts in one batched
+projection. Words are normalised once per worker and looked up afterwards.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skerry.session import slices
+
 BITS = 20
-LONG, WINDOW = 24, 16
+RUN = 24
+MOST_LABELLED = 20_000
 
 #: Letters of other scripts and signs that stand in for Latin letters.
 _LOOKALIKE = str.maketrans("аеорсухіјѕԁһ", "aeopcyxijsdh")
@@ -39,8 +47,9 @@ _LEETY = re.compile(r"(?<=[^\W\d_])[\d@$!|]+(?=[^\W\d_])|(?<!\S)[@$](?=[^\W\d_])
 _NUMBERED = re.compile(r"\d+[a-z]{1,2}|[a-z]\d+\w?")
 _EDGES = ".,;:?\"'()[]<>"
 _REPEAT = re.compile(r"([^\W\d_])\1{2,}")
-_ENDS = re.compile(r"[.!?…。！？]+(?=\s|$|[\"'»”)])|\n+")
-_WORD = re.compile(r"[^\W_]+(?:\*[^\W_]*)?")
+#: Words and ends of sentences within a piece of text without spaces.
+_TOKEN = re.compile(r"[^\W_]+(?:\*[^\W_]*)?|[.!?…。！？]+(?=$|[\"'»”)])|[。！？]+")
+_BREAK = "\ue000"
 
 #: Short sentences that the model knows before it has seen a verdict, and harmless neighbours.
 SEED_POSITIVE = (
@@ -79,72 +88,102 @@ def _unleet(text: str) -> str:
     return "".join([*out, text[done:]]) if out else text
 
 
-def plain_words(text: str) -> str:
-    """A text in lower case without accents, invisible signs, spelt-out and leet spellings."""
+def mended(text: str) -> str:
+    """A text without invisible signs and, where it was decoded wrongly, decoded rightly."""
     if "Ã" in text or "â€" in text:
         try:
             text = text.encode("cp1252").decode("utf-8")
         except UnicodeError:
             text = re.sub(r"Ã[\u0080-¿¡-¿]", lambda m: m[0].encode("latin-1").decode("utf-8", "ignore") or m[0], text)
-    text = _UNSEEN.sub("", text)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-        text = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-    text = text.lower()
-    if not text.isascii():
-        text = text.translate(_LOOKALIKE)
-    text = _SPELT.sub(lambda m: re.sub(r"[^\w@$]|_", "", m[0]), text)
-    text = _unleet(text)
-    text = _MASKED.sub("*", text)
-    return _REPEAT.sub(r"\1", text)
-
-
-def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence; a number is the word ``0``, a masked one keeps its ends.
-
-    A sentence of more than ``LONG`` words may be several without stops between them, so it
-    is read in windows of ``WINDOW`` words that overlap by half.
-    """
-    out = []
-    for part in _ENDS.split(plain_words(text)):
-        words = ["0" if w.isdigit() else w for w in _WORD.findall(part)]
-        if len(words) <= LONG:
-            if words:
-                out.append(words)
-        else:
-            out += [words[i : i + WINDOW] for i in range(0, len(words) - WINDOW // 2, WINDOW // 2)]
-    return out
+    return _UNSEEN.sub("", text)
+
+
+def plain_word(word: str) -> str:
+    """A piece of text without spaces in lower case, without accents, spelt-out and leet spellings."""
+    if not word.isascii():
+        word = unicodedata.normalize("NFKC", word)
+        word = "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c))
+    word = word.lower()
+    if not word.isascii():
+        word = word.translate(_LOOKALIKE)
+    word = _SPELT.sub(lambda m: re.sub(r"[^\w@$]|_", "", m[0]), word)
+    word = _unleet(word)
+    word = _MASKED.sub("*", word)
+    return _REPEAT.sub(r"\1", word)
 
 
-@lru_cache(maxsize=1 << 18)
 def _hash(word: str) -> int:
-    data = word.encode("utf-8", "surrogatepass")
-    return zlib.crc32(data) | (zlib.adler32(data) & 0xFFFF) << 32
-
-
-def features(groups: list[list[str]], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """(sentence, feature) of all n-grams and skip-grams of a list of sentences."""
-    lengths = np.fromiter(map(len, groups), np.int64, len(groups))
-    flat = np.fromiter((_hash(w) for g in groups for w in g), np.int64, int(lengths.sum())).view(np.uint64)
-    owner = np.repeat(np.arange(len(groups)), lengths)
-    masked = np.fromiter(("*" in w for g in groups for w in g), bool, len(flat))
-    who, what = [owner], [_fold(flat, 1)]
-    if masked.any():
-        who.append(owner[masked])
-        what.append(np.full(int(masked.sum()), 7, np.uint64))
+    """A number for a word: 48 bits of its hash, whether it is masked, 0 (for single letters, see below)."""
+    data = ("0" if word.isdigit() else word).encode("utf-8", "surrogatepass")
+    return (zlib.crc32(data) | (zlib.adler32(data) & 0xFFFF) << 32) << 2 | ("*" in word) << 1
+
+
+class _Numbers(dict):
+    """The numbers of the words in a piece of text without spaces; 0 is an end of a sentence, an odd one a letter by itself."""
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(self) > 1_000_000:
+            self.clear()
+        if piece == _BREAK:
+            got = (0,)
+        else:
+            got = tuple(_hash(x) if x[0].isalnum() else 0 for x in _TOKEN.findall(plain_word(piece)))
+            if len(piece) == 1 and piece.isalpha() and len(got) == 1:
+                got = (got[0] | 1,)
+                _letters[got[0]] = plain_word(piece)
+        self[piece] = got
+        return got
+
+
+_letters: dict[int, str] = {}
+_numbers = _Numbers()
+
+
+def numbers_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(words of all texts as numbers, 0 after each sentence; where each text's begin and end).
+
+    Four or more letters that stand by themselves are read as one word.
+    """
+    flat: list[int] = []
+    ends = [0]
+    get = _numbers.__getitem__
+    for text in texts:
+        if text:
+            flat.extend(chain.from_iterable(map(get, mended(text).replace("\n", f" {_BREAK} ").split())))
+        flat.append(0)
+        ends.append(len(flat))
+    words, ends = np.array(flat, np.int64), np.array(ends, np.int64)
+    single = np.concatenate([[0], words & 1, [0]])
+    begin, end = np.flatnonzero(np.diff(single) == 1), np.flatnonzero(np.diff(single) == -1)
+    keep = np.ones(len(words), bool)
+    for i, j in zip(begin.tolist(), end.tolist(), strict=True):
+        if j - i >= 4:
+            words[i] = _hash("".join(_letters[x] for x in words[i:j].tolist()))
+            keep[i + 1 : j] = False
+    before = np.append(0, np.cumsum(keep))
+    return words[keep] & ~np.int64(1), before[ends]
+
+
+def features(words: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the first word, feature) of all n-grams and skip-grams within sentences."""
+    hashed = words.view(np.uint64)
+    inside = words != 0
+    sentence = np.cumsum(~inside)
+    at = np.flatnonzero(inside)
+    where, what = [at], [_fold(hashed[at] >> np.uint64(2), 1)]
+    masked = at[words[at] & 2 > 0]
+    where.append(masked)
+    what.append(np.full(len(masked), 7, np.uint64))
     for kind, steps in ((2, (0, 1)), (3, (0, 1, 2)), (4, (0, 2)), (5, (0, 3))):
         last = steps[-1]
-        if len(flat) <= last:
-            continue
-        inside = owner[last:] == owner[: len(owner) - last]
-        value = np.full(len(flat) - last, kind, np.uint64)
+        some = at[at < len(words) - last]
+        some = some[(sentence[some + last] == sentence[some]) & inside[some + last]]
+        value = np.full(len(some), kind, np.uint64)
         for step in steps:
-            value = _fold(flat[step : len(flat) - last + step] + value * np.uint64(0x9E3779B97F4A7C15), kind)
-        who.append(owner[: len(owner) - last][inside])
-        what.append(value[inside])
-    who, what = np.concatenate(who), (np.concatenate(what) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    order = np.argsort(who, kind="stable")
-    return who[order], what[order]
+            value = _fold((hashed[some + step] >> np.uint64(2)) + value * np.uint64(0x9E3779B97F4A7C15), kind)
+        where.append(some)
+        what.append(value)
+    return np.concatenate(where), (np.concatenate(what) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def _fold(x: np.ndarray, kind: int) -> np.ndarray:
@@ -152,6 +191,21 @@ def _fold(x: np.ndarray, kind: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def runs(words: np.ndarray, step: int, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, place after the last) of the runs of each sentence that begin at every ``step``-th of its words.
+
+    The last run is the first one that reaches the sentence's end.
+    """
+    inside = words != 0
+    ends = np.flatnonzero(~inside)
+    at = np.flatnonzero(inside)
+    end = ends[np.searchsorted(ends, at)] if len(at) else at
+    begin = np.maximum.accumulate(np.where(inside, -1, np.arange(len(words))))[at] + 1
+    # a run that begins after one that reaches the end lies within it
+    first = ((at - begin) % step == 0) & ((at == begin) | (at - step + run < end))
+    return at[first], np.minimum(at[first] + run, end[first])
+
+
 class Ftrl:
     """FTRL-proximal logistic regression; ``weights`` has the sparse solution."""
 
@@ -167,58 +221,73 @@ class Ftrl:
     def bias(self) -> float:
         return -self.z0 / ((self.beta + self.n0**0.5) / self.alpha)
 
-    def learn(self, at: np.ndarray, label: int, weight: float = 1.0) -> None:
+    def learn(self, at: np.ndarray, times: np.ndarray, label: int, weight: float = 1.0) -> None:
         w, b = self.weights(at), self.bias()
-        p = 1 / (1 + np.exp(-max(-30.0, min(30.0, w.sum() + b))))
+        p = 1 / (1 + np.exp(-max(-30.0, min(30.0, w @ times + b))))
         g = (p - label) * weight
         if abs(g) < 1e-4:
             return
-        sigma = (np.sqrt(self.n[at] + g * g) - np.sqrt(self.n[at])) / self.alpha
-        self.z[at] += g - sigma * w
-        self.n[at] += g * g
+        each = g * times
+        sigma = (np.sqrt(self.n[at] + each * each) - np.sqrt(self.n[at])) / self.alpha
+        self.z[at] += each - sigma * w
+        self.n[at] += each * each
         s0 = ((self.n0 + g * g) ** 0.5 - self.n0**0.5) / self.alpha
         self.z0 += g - s0 * b
         self.n0 += g * g
 
 
-def fit(documents: list[tuple[str, int]], bits: int = BITS, rounds: int = 4, seed: int = 11, seeds: bool = True) -> tuple[np.ndarray, float]:
-    """(weights, bias) from (text, verdict) of documents; a verdict of 1 is about some sentence."""
-    groups: list[list[str]] = []
-    doc_of: list[int] = []
-    known: dict[int, int] = {}
-    labels = []
-    for text, label in documents:
-        found = sentences(text)
-        labels.append(label)
-        groups += found
-        doc_of += [len(labels) - 1] * len(found)
-    for label, texts in ((1, SEED_POSITIVE), (0, SEED_NEGATIVE)) if seeds else ():
-        for text in texts:
-            for found in sentences(text):
-                known[len(groups)] = label
-                groups.append(found)
-                doc_of.append(-1)
-    who, what = features(groups, bits)
-    starts = np.searchsorted(who, np.arange(len(groups) + 1))
-    each = [np.unique(what[starts[i] : starts[i + 1]]) for i in range(len(groups))]
-    doc = np.array(doc_of)
-    verdict = np.array([*labels, 0])[doc]
+class Model:
+    """The weights other than zero, by feature, and the bias."""
+
+    def __init__(self, at: np.ndarray, weight: np.ndarray, bias: float, bits: int = BITS):
+        self.at, self.weight, self.bias, self.bits = at, weight, bias, bits
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros(1 << self.bits)
+        out[self.at] = self.weight
+        return out
+
+    def save(self, path: str) -> None:
+        np.savez_compressed(path, at=self.at.astype(np.int32), weight=self.weight.astype(np.float32), bias=np.float32(self.bias), bits=np.int32(self.bits))
+
+    @staticmethod
+    @lru_cache(maxsize=2)
+    def load(path: str | None = None) -> Model:
+        with np.load(path or Path(__file__).with_name("abuse_weights.npz")) as data:
+            return Model(data["at"].astype(np.int64), data["weight"].astype(np.float64), float(data["bias"]), int(data["bits"]))
+
+
+def fit(documents: list[tuple[str, int]], bits: int = BITS, rounds: int = 4, seed: int = 11, seeds: bool = True, **rates: float) -> Model:
+    """The model of (text, verdict) of documents; a verdict of 1 is about some run of its words."""
+    texts = [text for text, _ in documents]
+    labels = [label for _, label in documents]
+    known = [(x, 1) for x in SEED_POSITIVE] + [(x, 0) for x in SEED_NEGATIVE] if seeds else []
+    words, ends = numbers_of([*texts, *(x for x, _ in known)])
+    begin, end = runs(words, RUN // 2)
+    doc = np.searchsorted(ends, begin, "right") - 1
+    where, what = features(words, bits)
+    order = np.argsort(where, kind="stable")
+    where, what = where[order], what[order]
+    low, high = np.searchsorted(where, begin), np.searchsorted(where, end)
+    each = [np.unique(what[i:j], return_counts=True) for i, j in zip(low, high, strict=True)]
+    each = [(at, times.astype(np.float64)) for at, times in each]
+    verdict = np.array([*labels, *(y for _, y in known), 0])[doc]
+    seeded = doc >= len(texts)
     rng = np.random.default_rng(seed)
-    negative = np.flatnonzero((verdict == 0) & (doc >= 0))
-    positive = np.flatnonzero((verdict == 1) & (doc >= 0))
-    # at first every sentence of an accepted document counts a little
+    negative, positive = np.flatnonzero((verdict == 0) & ~seeded), np.flatnonzero((verdict == 1) & ~seeded)
+    # at first every run of an accepted document counts a little
     target = {int(i): 0.3 for i in positive}
-    model = Ftrl(bits)
+    model = Ftrl(bits, **rates)
     for turn in range(rounds):
-        model = Ftrl(bits)
-        plan = [(int(i), 0, 1.0) for i in negative] + [(i, 1, w) for i, w in target.items()] + [(i, y, 1.0) for i, y in known.items()]
+        model = Ftrl(bits, **rates)
+        plan = [(int(i), 0, 1.0) for i in negative] + [(i, 1, w) for i, w in target.items()] + [(int(i), int(verdict[i]), 1.0) for i in np.flatnonzero(seeded)]
         for _ in range(2):
             for k in rng.permutation(len(plan)):
                 i, y, w = plan[k]
-                model.learn(each[i], y, w)
+                model.learn(*each[i], y, w)
         if turn + 1 < rounds:
             weights, bias = model.weights(), model.bias()
-            score = np.array([weights[each[i]].sum() + bias for i in positive])
+            score = np.array([weights[each[i][0]] @ each[i][1] + bias for i in positive])
             target = {}
             for d in np.unique(doc[positive]):
                 mine = np.flatnonzero(doc[positive] == d)
@@ -226,7 +295,9 @@ def fit(documents: list[tuple[str, int]], bits: int = BITS, rounds: int = 4, see
                 for k in mine:
                     if k == best and (score[k] > -1.5 or turn == 0) or score[k] > 0.5:
                         target[int(positive[k])] = 1.0
-    return model.weights().astype(np.float32), float(model.bias())
+    weights = model.weights()
+    at = np.flatnonzero(weights)
+    return Model(at, weights[at], float(model.bias()), bits)
 
 
 def verdicts(documents: DataFrame, labels: DataFrame, max_labelled: int) -> list[tuple[str, int]]:
@@ -241,42 +312,40 @@ def verdicts(documents: DataFrame, labels: DataFrame, max_labelled: int) -> list
     return [(r["text"], int(r["__share"] > 0.5)) for r in sorted(rows.collect(), key=lambda r: r["doc_id"])]
 
 
-def score_texts(df: DataFrame, weights: np.ndarray, bias: float, key: str = "doc_id", text: str = "text", bits: int = BITS) -> DataFrame:
-    """``key`` and score (0 to 1) of every row: its worst sentence's. Null and wordless texts score 0."""
-    shared = df.sparkSession.sparkContext.broadcast((weights, bias))  # 2 ** bits numbers
-    out = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("score", T.DoubleType())])
+def fit_documents(documents: DataFrame, labels: DataFrame, max_labelled: int = MOST_LABELLED, **options) -> Model:
+    """A model of the verdicts of ``labels``; without any, the seed sentences alone are learnt from."""
+    return fit(verdicts(documents, labels, max_labelled), **options)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = shared.value
-        for whole in batches:
-            for begin in range(0, whole.num_rows, 256):
-                batch = whole.slice(begin, 256)
-                groups: list[list[str]] = []
-                doc: list[int] = []
-                for i, value in enumerate(batch.column(1).to_pylist()):
-                    found = sentences(value) if value else []
-                    groups += found
-                    doc += [i] * len(found)
-                score = np.full(batch.num_rows, -np.inf)
-                if groups:
-                    who, what = features(groups, bits)
-                    order = np.unique(who * (1 << bits) + what)  # a feature counts once a sentence
-                    total = np.bincount(order >> bits, w[order & ((1 << bits) - 1)], len(groups)) + b
-                    np.maximum.at(score, np.array(doc), total)
-                score = 1 / (1 + np.exp(-np.clip(score, -700, 30)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(score, 6))], names=out.names)
-
-    return df.select(key, text).mapInArrow(run, out)
-
-
-def score_documents(documents: DataFrame, labels: DataFrame, max_labelled: int = 20_000) -> DataFrame:
-    """doc_id and score of every document, by a model of the reviewers' verdicts.
-
-    Repeated rows score alike; empty ``labels`` leave the seed sentences alone to learn from;
-    an empty ``documents`` gives no rows; other columns are left out.
+
+def score_many(weights: np.ndarray, bias: float, texts: list[str | None], bits: int = BITS) -> np.ndarray:
+    """The score (0 to 1) of each text: its worst run's. Without words it is 0."""
+    words, ends = numbers_of(texts)
+    where, what = features(words, bits)
+    sums = np.append(0, np.cumsum(np.bincount(where, weights[what], len(words))))
+    begin, end = runs(words, 1)
+    score = np.full(len(texts), -np.inf)
+    np.maximum.at(score, np.searchsorted(ends, begin, "right") - 1, sums[end] - sums[begin] + bias)
+    return np.round(1 / (1 + np.exp(-np.clip(score, -700, 30))), 6)
+
+
+def score_documents(documents: DataFrame, model: Model | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key`` and score (0 to 1) of every row, by ``model`` or the stored one.
+
+    Null and wordless texts score 0; repeated rows score alike; an empty table gives no rows;
+    other columns are left out.
     """
-    weights, bias = fit(verdicts(documents, labels, max_labelled))
-    return score_texts(documents, weights, bias)
+    shared = documents.sparkSession.sparkContext.broadcast(model or Model.load())
+    out = T.StructType([T.StructField(key, documents.schema[key].dataType), T.StructField("score", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learnt = shared.value
+        weights = learnt.dense()
+        for batch in batches:
+            for part in slices(batch, 1, 512):
+                scores = score_many(weights, learnt.bias, part.column(1).to_pylist(), learnt.bits)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores)], names=out.names)
+
+    return documents.select(key, text).mapInArrow(run, out)
 
 
 def source_rates(documents: DataFrame, scores: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -72,7 +72,7 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
-    return score_documents(table(spark, folder, "documents", wide=True), table(spark, folder, "labels"))
+    return score_documents(table(spark, folder, "documents", wide=True))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
