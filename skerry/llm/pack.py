@@ -3,7 +3,7 @@
 Items differ for packing only by their size, an integer from 1 to the capacity, so the plan
 is made on the histogram of sizes, which has at most ``capacity`` numbers however large the
 corpus. Exact-complement hashing: for each size, largest first, the gap that it leaves is
-looked up among single sizes, sums of pairs and sums of triples that are still available;
+looked up among single sizes and in the hashed sums of pairs and of triples that are still available;
 a combination that fills the gap exactly is consumed as often as the counts allow. What
 finds no exact complement goes by best fit, largest first, again many at a time.
 
@@ -26,32 +26,49 @@ from skerry.llm.tokens import encode_texts
 from skerry.session import cut
 
 
-def _complement(avail: np.ndarray, gap: int) -> tuple[int, ...] | None:
-    """One, two or three available sizes whose sum is ``gap``, larger ones first."""
-    if avail[gap] > 0:
-        return (gap,)
-    has = avail[: gap + 1] > 0
-
-    def pair(total: int, has: np.ndarray, twice: np.ndarray) -> tuple[int, int] | None:
-        low = np.arange(1, total // 2 + 1)
-        ok = has[low] & has[total - low]
-        if total % 2 == 0 and total:
-            ok[-1] = twice[total // 2]
-        at = np.flatnonzero(ok)
-        return (total - int(low[at[0]]), int(low[at[0]])) if len(at) else None
-
-    twice = avail[: gap + 1] > 1
-    if (found := pair(gap, has, twice)) is not None:
-        return found
-    for size in np.flatnonzero(has[: max(gap - 1, 0)])[::-1]:
-        if 3 * size < gap:
-            break
-        avail[size] -= 1
-        found = pair(gap - int(size), avail[: gap + 1] > 0, avail[: gap + 1] > 1)
-        avail[size] += 1
-        if found is not None:
-            return (int(size), *found)
-    return None
+class _Sums:
+    """Sums of pairs and triples of available sizes, hashed by the sum; what has run out leaves its lists for good.
+
+    A sum's list is made when it is first asked for. Availability only falls, so a list only shrinks.
+    """
+
+    def __init__(self, avail: np.ndarray):
+        self.avail = avail
+        self.pairs: dict[int, list[int]] = {}
+        self.triples: dict[int, list[int]] = {}
+
+    def pair(self, total: int, also: int = 0) -> tuple[int, int] | None:
+        """Two sizes that make ``total``, the larger as large as can be, while one of size ``also`` is in use."""
+        lows = self.pairs.get(total)
+        if lows is None:
+            low = np.arange(1, total // 2 + 1)
+            lows = self.pairs[total] = low[(self.avail[low] > 0) & (self.avail[total - low] > 0)][::-1].tolist()
+        for i in range(len(lows) - 1, -1, -1):
+            low, high = lows[i], total - lows[i]
+            same = low == high
+            if self.avail[low] < 1 + same or self.avail[high] < 1:
+                del lows[i]
+            elif self.avail[low] >= 1 + same + (low == also) and self.avail[high] >= 1 + same + (high == also):
+                return high, low
+        return None
+
+    def triple(self, total: int) -> tuple[int, int, int] | None:
+        """Three sizes that make ``total``, the largest as large as can be."""
+        tops = self.triples.get(total)
+        if tops is None:
+            top = np.arange(-(-total // 3), max(total - 1, 0))
+            tops = self.triples[total] = top[self.avail[top] > 0].tolist()
+        for i in range(len(tops) - 1, -1, -1):
+            top = tops[i]
+            if self.avail[top] > 0 and (found := self.pair(total - top, top)) is not None:
+                return (top, *found)
+            if self.avail[top] < 1 or not self.pairs[total - top]:
+                del tops[i]
+        return None
+
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three available sizes whose sum is ``gap``, larger ones first."""
+        return (gap,) if self.avail[gap] > 0 else self.pair(gap) or self.triple(gap)
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -63,13 +80,14 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[tuple[int
         avail[size] += n
     done: list[tuple[tuple[tuple[int, int], ...], int]] = []
     left: dict[int, int] = {}
+    sums = _Sums(avail)
     if avail[capacity]:
         done.append((((capacity, 1),), int(avail[capacity])))
         avail[capacity] = 0
     for size in range(capacity - 1, 0, -1):
         while avail[size] > 0:
             avail[size] -= 1
-            others = _complement(avail, capacity - size)
+            others = sums.complement(capacity - size)
             avail[size] += 1
             if others is None:
                 left[size], avail[size] = int(avail[size]), 0

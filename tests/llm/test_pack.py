@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skerry.llm.pack import fill_containers, fill_report, pack_items, plan
+import numpy as np
+
+from skerry.llm.pack import _Sums, fill_containers, fill_report, pack_items, plan
 
 
 @settings(max_examples=150, deadline=None)
@@ -18,6 +20,27 @@ def test_plan_places_every_item_once(histogram):
     assert placed == Counter(histogram)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=31, max_size=31), st.lists(st.tuples(st.integers(1, 30), st.integers(1, 30)), max_size=12))
+def test_sums_are_found_while_sizes_run_out(counts, steps):
+    avail = np.array(counts, np.int64)
+    avail[0] = 0
+    sums = _Sums(avail)
+    for total, gone in steps:
+        got = sums.complement(total)
+        sets = [c for n in (1, 2, 3) for c in _multisets(total, n) if all(avail[x] >= k for x, k in Counter(c).items())]
+        assert (got is None) == (not sets)
+        if got is not None:
+            assert sum(got) == total and len(got) == min(map(len, sets)) and all(avail[x] >= k for x, k in Counter(got).items())
+        avail[gone] = max(0, avail[gone] - 1)
+
+
+def _multisets(total, n, most=30):
+    if n == 1:
+        return [(total,)] if 1 <= total <= most else []
+    return [(x, *rest) for x in range(1, min(most, total - n + 1) + 1) for rest in _multisets(total - x, n - 1, x)]
+
+
 def test_plan_is_near_the_bound():
     rng = random.Random(3)
     sizes = Counter(min(2048, int(rng.lognormvariate(5, 1)) + 1) for _ in range(20_000))
