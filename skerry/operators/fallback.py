@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skerry.operators.search import search
+from skerry.operators.search import build_index, search
+from skerry.session import cut
 
 
 def needs_fallback(queries: DataFrame, hits: DataFrame, least: float) -> DataFrame:
@@ -36,7 +39,8 @@ def title_candidates(questions: DataFrame, pages: DataFrame, key: str, limit: in
     """
     none = F.lit(None).cast("array<float>")
     asked = questions.select("query_id", F.col("query").alias("text"), none.alias("vector"))
-    hits = search(asked, pages.withColumn("__v", none), limit, per_doc=0, lexical_only=True, key=key, doc="wiki", text="title", vector="__v")
+    index = build_index(pages, key, "wiki", "title", None)
+    hits = search(asked, replace(index, blocks=cut(index.blocks)), limit, per_doc=0, lexical_only=True)
     place = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy("rank"))
     rows = hits.select("query_id", F.col("chunk_ord").alias(key), (F.lit(limit + 1) - place).cast("bigint").alias("score"))
     return rows.join(pages.select(key, "wiki", "title"), key).join(questions, "query_id").select("query_id", "query", "wiki", "title", "score")

@@ -1,8 +1,11 @@
 """Search of many queries at once over all chunks: dense, lexical and fused scores, top k, cap per document.
 
-Scores of all pairs are needed for the fusion's minima and maxima, but never become rows:
-each task multiplies its chunks with a block of queries as matrices and gives each query's
-extremes, then in a second pass its own best ``pool`` chunks. What is shuffled is bounded
+Texts are read once, when the index is made: a row of the index packs up to 1,024 chunks with
+their vectors and postings (term, chunk, count) as arrays, so a search never sees a text. A
+search needs the scores of all pairs for the fusion's minima and maxima, but they never become
+rows: each task multiplies its blocks with a block of queries as matrices and gives each query's
+extremes, then in a second pass its own best ``pool`` chunks. Terms that many queries and
+chunks share are columns of those matrices, rare ones are added up pair by pair. What is shuffled is bounded
 by tasks times queries times pool. Queries are taken in blocks of ``block`` rows, which
 bounds what is broadcast; chunks are never collected.
 """
@@ -12,19 +15,23 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from skerry.functions.text import search_tokens
 from skerry.operators.lexical import K1, B
 from skerry.session import cut
 
 BLOCK = 2048
 ROWS = 1024
+#: From so many pairs of query and chunk on, a term is a column of a matrix.
+COMMON = 20_000
 _TERM = re.compile(r"[a-z0-9]+(?:'[a-z0-9]+)?")
 
 
@@ -32,111 +39,223 @@ def pool_size(k: int, per_doc: int) -> int:
     return max(4 * k, k + 10) if per_doc > 0 else k
 
 
-def unit_rows(vectors: list[list[float] | None], dim: int) -> np.ndarray:
-    """Rows of length 1 in double precision; null vectors and those of zeros are zeros."""
-    out = np.zeros((len(vectors), dim))
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == dim:
-            out[i] = [0.0 if x is None else x for x in v]
+class _Terms(dict):
+    """Hashes of terms, computed once per worker while they fit."""
+
+    def __missing__(self, term: str) -> int:
+        if len(self) > 2_000_000:
+            self.clear()
+        got = self[term] = xxhash.xxh3_64_intdigest(term.encode()) - (1 << 63)
+        return got
+
+
+_terms = _Terms()
+
+
+def term_counts(text: str | None) -> tuple[int, Counter]:
+    """(number of terms, times of each term's hash) of a text; a null text has none."""
+    found = _TERM.findall(text.lower()) if text else []
+    return len(found), Counter(map(_terms.__getitem__, found))
+
+
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision; those of zeros stay zeros."""
+    out = vectors.astype(np.float64)
     length = np.sqrt((out * out).sum(axis=1))
     return out / np.where(length == 0, 1.0, length)[:, None]
 
 
-def _by_length(vectors: list) -> dict[int, list[int]]:
-    found: dict[int, list[int]] = {}
-    for i, v in enumerate(vectors):
-        if v is not None and len(v):
-            found.setdefault(len(v), []).append(i)
-    return found
+@dataclass(frozen=True)
+class SearchIndex:
+    """``blocks`` of chunks: keys, docs, dims and vectors (end to end), and for lexical search dl, terms, starts, at and tf."""
+
+    blocks: DataFrame
+    with_words: bool = True
+
+    def statistics(self, terms: np.ndarray) -> tuple[np.ndarray, int, float]:
+        """(document frequency of each of some terms, number of chunks, mean length)."""
+        n, total = self.blocks.agg(F.sum(F.size("keys")), F.sum(F.aggregate("dl", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()
+        shared = self.blocks.sparkSession.sparkContext.broadcast(np.sort(terms))
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted = shared.value
+            df = np.zeros(len(wanted), np.int64)
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    block = {c: batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j, c in enumerate(("terms", "starts"))}
+                    at, there = _found(wanted, block["terms"])
+                    df[at] += np.diff(block["starts"])[there]
+            some = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["i", "df"])
+
+        got = self.blocks.select("terms", "starts").mapInArrow(count, "i bigint, df bigint").groupBy("i").agg(F.sum("df").alias("df")).toArrow()
+        df = np.zeros(len(terms), np.int64)
+        df[got.column(0).to_numpy()] = got.column(1).to_numpy()
+        return df[np.argsort(np.argsort(terms))], int(n or 0), (total or 0) / n if n else 0.0
+
+
+def _found(wanted: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in ``wanted``, place in ``terms``) of the terms in both; both are sorted."""
+    if not len(wanted):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(wanted, terms), len(wanted) - 1)
+    there = np.flatnonzero(wanted[at] == terms)
+    return at[there], there
+
+
+def build_index(chunks: DataFrame, key: str = "chunk_ord", doc: str = "doc_id", text: str | None = "text", vector: str | None = "embedding") -> SearchIndex:
+    """The index of a chunk table in one pass, without a shuffle; without ``text`` only for dense, without ``vector`` only for lexical search."""
+    columns = [F.col(key).cast("bigint").alias("keys"), F.col(doc).alias("docs"), (F.col(vector) if vector else F.lit(None)).cast("array<float>").alias("v"), (F.col(text) if text else F.lit(None)).cast("string").alias("t")]
+    rows = chunks.select(*columns)
+    kind = rows.schema["docs"].dataType
+
+    def pack(keys: list, docs: list, vectors: list, texts: list) -> list:
+        dims = np.fromiter((0 if v is None else len(v) for v in vectors), np.int32, len(keys))
+        flat = np.array([0.0 if x is None else x for v in vectors if v is not None for x in v], np.float32)
+        dl, term, at, tf = [], [], [], []
+        for i, value in enumerate(texts):
+            n, counts = term_counts(value)
+            dl.append(n)
+            term.extend(counts)
+            at.extend([i] * len(counts))
+            tf.extend(counts.values())
+        term, at, tf = np.array(term, np.int64), np.array(at, np.int16), np.array(tf, np.int32)
+        order = np.argsort(term, kind="stable")
+        unique, starts = np.unique(term[order], return_index=True)
+        return [keys, docs, dims, flat, np.array(dl, np.int32), unique, np.append(starts, len(term)).astype(np.int32), at[order], tf[order]]
+
+    doc_type = to_arrow_type(kind)
+    types = [pa.int64(), doc_type, pa.int32(), pa.float32(), pa.int32(), pa.int64(), pa.int32(), pa.int16(), pa.int32()]
+    names = ["keys", "docs", "dims", "vectors", "dl", "terms", "starts", "at", "tf"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list] = [[], [], [], []]
+
+        def out(n: int) -> pa.RecordBatch:
+            block = pack(*(x[:n] for x in held))
+            for x in held:
+                del x[:n]
+            return pa.RecordBatch.from_arrays([pa.array([v], pa.list_(t)) for v, t in zip(block, types, strict=True)], names=names)
+
+        for batch in batches:
+            for begin in range(0, batch.num_rows, ROWS):
+                for x, column in zip(held, batch.slice(begin, ROWS).columns, strict=True):
+                    x.extend(column.to_pylist())
+                while len(held[0]) >= ROWS:
+                    yield out(ROWS)
+        if held[0]:
+            yield out(ROWS)
+
+    schema = f"keys array<bigint>, docs array<{kind.simpleString()}>, dims array<int>, vectors array<float>, dl array<int>, terms array<bigint>, starts array<int>, at array<smallint>, tf array<int>"
+    return SearchIndex(rows.mapInArrow(run, schema), text is not None)
 
 
-class _Block:
-    """A block of queries: unit vectors and weighted terms."""
+class _Queries:
+    """A block of queries: unit vectors by dimension and weighted terms."""
 
-    def __init__(self, ids: list, vectors: list, texts: list[str | None], idf: dict[str, float], avgdl: float):
-        self.ids, self.avgdl = ids, avgdl or 1.0
-        self.by_dim = {d: (at, unit_rows([vectors[i] for i in at], d)) for d, at in _by_length(vectors).items()}
-        self.terms: dict[str, int] = {}
-        who, what, weight = [], [], []
+    def __init__(self, ids: list, vectors: list, texts: list[str | None]):
+        self.ids, n = ids, len(ids)
+        sizes = np.fromiter((0 if v is None else len(v) for v in vectors), np.int64, n)
+        self.by_dim = {int(d): (at := np.flatnonzero(sizes == d), unit_rows(np.array([[x or 0.0 for x in vectors[i]] for i in at]))) for d in np.unique(sizes[sizes > 0])}
+        who, what, times = [], [], []
         for i, text in enumerate(texts):
-            for term, n in Counter(_TERM.findall((text or "").lower())).items():
-                if term in idf:
-                    who.append(i)
-                    what.append(self.terms.setdefault(term, len(self.terms)))
-                    weight.append(n * idf[term] * (K1 + 1))
-        order = np.argsort(what, kind="stable") if what else np.zeros(0, np.int64)
-        self.who, self.weight = np.array(who, np.int64)[order], np.array(weight)[order]
-        self.starts = np.searchsorted(np.array(what, np.int64)[order], np.arange(len(self.terms) + 1))
-
-    def dense(self, vectors: list) -> np.ndarray:
+            for term, m in term_counts(text)[1].items():
+                who.append(i)
+                what.append(term)
+                times.append(m)
+        self.terms, what = np.unique(np.array(what, np.int64), return_inverse=True)
+        order = np.argsort(what, kind="stable")
+        self.who, self.times = np.array(who, np.int64)[order], np.array(times, float)[order]
+        self.starts = np.searchsorted(what[order], np.arange(len(self.terms) + 1))
+
+    def weigh(self, df: np.ndarray, n: int, avgdl: float) -> None:
+        self.avgdl = avgdl or 1.0
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5)) * (K1 + 1) * (df > 0)
+        self.weight = self.times * np.repeat(idf, np.diff(self.starts))
+
+    def dense(self, dims: np.ndarray, flat: np.ndarray) -> np.ndarray:
         """Cosines; 0 where a vector is missing or of another dimension than the query's."""
-        out = np.zeros((len(self.ids), len(vectors)))
-        for dim, at in _by_length(vectors).items():
-            if dim in self.by_dim:
-                mine, matrix = self.by_dim[dim]
-                out[np.ix_(mine, at)] = matrix @ unit_rows([vectors[i] for i in at], dim).T
+        out = np.zeros((len(self.ids), len(dims)))
+        ends = np.cumsum(dims)
+        for dim, (mine, matrix) in self.by_dim.items():
+            at = np.flatnonzero(dims == dim)
+            if len(at):
+                scores = matrix @ unit_rows(flat[(ends[at] - dim)[:, None] + np.arange(dim)]).T
+                if len(mine) == len(self.ids) and len(at) == len(dims):
+                    return scores
+                out[np.ix_(mine, at)] = scores
         return out
 
-    def lexical(self, texts: list[str | None]) -> np.ndarray:
-        chunk, term, tf = [], [], []
-        length = np.zeros(len(texts))
-        known = self.terms
-        for i, text in enumerate(texts):
-            tokens = _TERM.findall(text.lower()) if text else []
-            length[i] = len(tokens)
-            for t, n in Counter(t for t in tokens if t in known).items():
-                chunk.append(i)
-                term.append(known[t])
-                tf.append(n)
-        if not chunk:
-            return np.zeros((len(self.ids), len(texts)))
-        chunk, term, tf = np.array(chunk), np.array(term), np.array(tf, float)
-        part = tf / (tf + K1 * (1 - B + B * length[chunk] / self.avgdl))
-        n = self.starts[term + 1] - self.starts[term]
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[term], n)
-        cell = self.who[at] * len(texts) + np.repeat(chunk, n)
-        return np.bincount(cell, np.repeat(part, n) * self.weight[at], len(self.ids) * len(texts)).reshape(len(self.ids), len(texts))
+    def lexical(self, dl: np.ndarray, terms: np.ndarray, starts: np.ndarray, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        q, c = len(self.ids), len(dl)
+        out = np.zeros((q, c))
+        mine, there = _found(self.terms, terms)
+        if not len(mine):
+            return out
+        chunks, asked = (starts[there + 1] - starts[there]).astype(np.int64), self.starts[mine + 1] - self.starts[mine]
+
+        def postings(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(place in ``some``, chunk, saturated count) of the postings of some terms."""
+            n = chunks[some]
+            place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[there[some]].astype(np.int64), n)
+            chunk, times = at[place].astype(np.int64), tf[place].astype(float)
+            return np.repeat(np.arange(len(some)), n), chunk, times / (times + K1 * (1 - B + B * dl[chunk] / self.avgdl))
+
+        often = chunks * asked >= COMMON
+        common, rare = np.flatnonzero(often), np.flatnonzero(~often)
+        if len(rare):
+            term, chunk, part = postings(rare)
+            n = asked[rare][term]
+            query = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[mine[rare]][term], n)
+            cell = self.who[query] * c + np.repeat(chunk, n)
+            out += np.bincount(cell, np.repeat(part, n) * self.weight[query], q * c).reshape(q, c)
+        if len(common):
+            term, chunk, part = postings(common)
+            right = np.zeros((len(common), c))
+            right[term, chunk] = part
+            left = np.zeros((q, len(common)))
+            for i, t in enumerate(mine[common]):
+                span = slice(self.starts[t], self.starts[t + 1])
+                left[self.who[span], i] = self.weight[span]
+            out += left @ right
+        return out
 
 
 def _scaled(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     span = high - low
     flat = span < 1e-12
-    return np.where(flat[:, None], 0.0, (x - low[:, None]) / np.where(flat, 1.0, span)[:, None])
-
-
-def _top(top_s: np.ndarray, top_c: np.ndarray, score: np.ndarray, chunk: np.ndarray, pool: int) -> tuple[np.ndarray, np.ndarray]:
-    """The best ``pool`` of each row's scores so far and its new ones; ties go to the lower chunk.
-
-    A linear partition finds each row's last score that may stay, and only what reaches it is sorted.
-    """
-    score = np.concatenate([top_s, score], axis=1)
-    which = np.concatenate([top_c, np.broadcast_to(chunk, (len(score), len(chunk)))], axis=1)
-    n = min(pool, score.shape[1])
-    last = np.partition(score, -n, axis=1)[:, -n]
-    row, at = np.nonzero((score >= last[:, None]) & (score > -np.inf))
-    s, c = score[row, at], which[row, at]
-    order = np.lexsort((c, -s, row))
-    row, s, c = row[order], s[order], c[order]
-    place = np.arange(len(row)) - np.searchsorted(row, row)
-    stay = place < pool
-    out_s, out_c = np.full((len(score), n), -np.inf), np.zeros((len(score), n), np.int64)
-    out_s[row[stay], place[stay]], out_c[row[stay], place[stay]] = s[stay], c[stay]
-    return out_s, out_c
-
-
-def _statistics(chunks: DataFrame, queries: DataFrame, text: str) -> tuple[dict[str, float], float]:
-    """(inverse document frequency of the block's terms, mean length) over all chunks."""
-    terms = queries.select(F.explode(search_tokens(F.coalesce("text", F.lit("")))).alias("term")).distinct()
-    tokens = chunks.select(search_tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    n, avgdl = tokens.agg(F.count("*"), F.avg(F.size("tokens"))).first()
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).join(F.broadcast(terms), "term").groupBy("term").count()
-    return {r["term"]: float(np.log(1 + (n - r["count"] + 0.5) / (r["count"] + 0.5))) for r in df.collect()}, avgdl or 0.0
-
-
-def search(
-    queries: DataFrame, chunks: DataFrame, k: int = 5, alpha: float = 0.7, per_doc: int = 2, hybrid: bool = True, lexical_only: bool = False,
-    key: str = "chunk_ord", doc: str = "doc_id", text: str = "text", vector: str = "embedding", block: int = BLOCK,
-) -> DataFrame:
+    return (x - low[:, None]) * np.where(flat, 0.0, 1 / np.where(flat, 1.0, span))[:, None]
+
+
+class _Best:
+    """Each query's best ``pool`` chunks so far; ties go to the lower key."""
+
+    def __init__(self, n: int, pool: int):
+        self.pool = pool
+        self.score, self.key, self.doc = np.full((n, pool), -np.inf), np.zeros((n, pool), np.int64), np.zeros((n, pool), object)
+
+    def add(self, score: np.ndarray, keys: np.ndarray, docs: list) -> None:
+        bar = self.score[:, -1]
+        if score.shape[1] > self.pool:
+            bar = np.maximum(bar, np.partition(score, -self.pool, axis=1)[:, -self.pool]) if not np.isfinite(bar).all() else bar
+        row, at = np.nonzero((score >= bar[:, None]) & (score > -np.inf))
+        if not len(row):
+            return
+        touched = np.unique(row)
+        old, place = np.nonzero(np.isfinite(self.score[touched]))
+        old = touched[old]
+        row_all = np.concatenate([old, row])
+        s = np.concatenate([self.score[old, place], score[row, at]])
+        k = np.concatenate([self.key[old, place], keys[at]])
+        d = np.concatenate([self.doc[old, place], np.array(docs, object)[at]])
+        order = np.lexsort((k, -s, row_all))
+        row_all, s, k, d = row_all[order], s[order], k[order], d[order]
+        place = np.arange(len(row_all)) - np.searchsorted(row_all, row_all)
+        stay = place < self.pool
+        self.score[row_all[stay], place[stay]], self.key[row_all[stay], place[stay]], self.doc[row_all[stay], place[stay]] = s[stay], k[stay], d[stay]
+
+
+def search(queries: DataFrame, index: SearchIndex, k: int = 5, alpha: float = 0.7, per_doc: int = 2, hybrid: bool = True, lexical_only: bool = False, block: int = BLOCK) -> DataFrame:
     """query_id, rank (from 1), chunk_ord, doc_id, score (6 digits) of each query's best chunks.
 
     ``queries`` has query_id, text and vector. Fused scores are ``alpha`` times the dense and
@@ -150,68 +269,65 @@ def search(
     n = rows.count()
     got = []
     for begin in range(0, max(n, 1), block):
-        part = rows.offset(begin).limit(block)
-        got.append(_search_block(part, chunks, pool_size(k, per_doc), alpha, mode, key, doc, text, vector))
+        got.append(_search_block(rows.offset(begin).limit(block) if n > block else rows, index, pool_size(k, per_doc), alpha, mode))
     return diverse(reduce(DataFrame.unionByName, got), k, per_doc)
 
 
-def _search_block(part: DataFrame, chunks: DataFrame, pool: int, alpha: float, mode: str, key: str, doc: str, text: str, vector: str) -> DataFrame:
-    session, listed = chunks.sparkSession, part.collect()
-    fused, words = mode == "fused", mode != "dense"
-    idf, avgdl = _statistics(chunks, part, text) if words else ({}, 0.0)
-    queries = _Block([r["query_id"] for r in listed], [r["vector"] for r in listed], [r["text"] for r in listed], idf, avgdl)
+def _search_block(part: DataFrame, index: SearchIndex, pool: int, alpha: float, mode: str) -> DataFrame:
+    session, listed = part.sparkSession, part.collect()
+    words, vectors = mode != "dense", mode != "lexical"
+    queries = _Queries([r["query_id"] for r in listed], [r["vector"] if vectors else None for r in listed], [r["text"] if words else None for r in listed])
+    if words:
+        if not index.with_words:
+            raise ValueError("the index has no words")
+        queries.weigh(*index.statistics(queries.terms))
     shared = session.sparkContext.broadcast(queries)  # at most ``block`` queries
-    columns = [F.col(key).alias("chunk_ord"), F.col(doc).alias("doc_id"), F.col(vector).alias("__v"), *([F.col(text).alias("__t")] if words else [])]
-    source = chunks.select(*columns)
+    columns = ["keys", "docs", *(["dims", "vectors"] if vectors else []), *(["dl", "terms", "starts", "at", "tf"] if words else [])]
+    source = index.blocks.select(*columns)
 
-    def scored(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray | None]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         q = shared.value
-        lexical = q.lexical(batch.column(3).to_pylist()) if words else None
-        return q.dense(batch.column(2).to_pylist()) if mode != "lexical" else lexical, lexical
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin in range(0, batch.num_rows, ROWS):
-                yield batch.slice(begin, ROWS)
+            for i in range(batch.num_rows):
+                block = {c: batch.column(j)[i].values for j, c in enumerate(columns)}
+                arrays = {c: v.to_numpy(zero_copy_only=False) for c, v in block.items() if c != "docs"}
+                dense = q.dense(arrays["dims"], arrays["vectors"]) if vectors else None
+                lexical = q.lexical(*(arrays[c] for c in ("dl", "terms", "starts", "at", "tf"))) if words else None
+                yield arrays["keys"], block["docs"], dense, lexical
 
     def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = np.full((2, len(shared.value.ids)), np.inf)
         high = -low
-        for batch in pieces(batches):
-            for i, x in enumerate(scored(batch)):
+        for _, _, *both in scored(batches):
+            for i, x in enumerate(both):
                 low[i], high[i] = np.minimum(low[i], x.min(axis=1)), np.maximum(high[i], x.max(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(range(low.shape[1]), pa.int32()), *(pa.array(x) for x in (*low, *high))], names=["q", "l0", "l1", "h0", "h1"])
 
     limits = None
-    if fused:
+    if mode == "fused":
         found = source.mapInArrow(extremes, "q int, l0 double, l1 double, h0 double, h1 double")
         found = found.groupBy("q").agg(F.min("l0"), F.min("l1"), F.max("h0"), F.max("h1")).orderBy("q").collect()
         limits = np.array([list(r)[1:] for r in found]).reshape(-1, 4).T
 
+    id_kind, doc_kind = part.schema["query_id"].dataType, index.blocks.schema["docs"].dataType.elementType
+    id_type, doc_type = to_arrow_type(id_kind), to_arrow_type(doc_kind)
+
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = shared.value.ids
-        top_s, top_c = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
-        docs: dict[int, str] = {}
-        for batch in pieces(batches):
-            dense, lexical = scored(batch)
+        top = _Best(len(ids), pool)
+        for keys, docs, dense, lexical in scored(batches):
             if mode == "lexical":
-                dense = np.where(dense > 0, dense, -np.inf)
-            if fused:
-                dense = alpha * _scaled(dense, limits[0], limits[2]) + (1 - alpha) * _scaled(lexical, limits[1], limits[3])
-            chunk = batch.column(0).to_numpy()
-            top_s, top_c = _top(top_s, top_c, np.round(dense, 6), chunk, pool)
-            docs.update(zip(chunk.tolist(), batch.column(1).to_pylist(), strict=True))
-            docs = {c: docs[c] for c in np.unique(top_c[np.isfinite(top_s)]).tolist()}
-        if top_c.size:
-            who, at = np.nonzero(np.isfinite(top_s))
-            flat = top_c[who, at]
-            names = pa.array([ids[i] for i in who], id_type)
-            yield pa.RecordBatch.from_arrays([names, pa.array(flat), pa.array([docs[c] for c in flat.tolist()], doc_type), pa.array(top_s[who, at])], names=["query_id", "chunk_ord", "doc_id", "score"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_kind, doc_kind = part.schema["query_id"].dataType, source.schema["doc_id"].dataType
-    id_type, doc_type = to_arrow_type(id_kind), to_arrow_type(doc_kind)
+                score = np.where(lexical > 0, lexical, -np.inf)
+            elif mode == "fused":
+                score = alpha * _scaled(dense, limits[0], limits[2]) + (1 - alpha) * _scaled(lexical, limits[1], limits[3])
+            else:
+                score = dense
+            top.add(np.round(score, 6), keys, docs.to_pylist())
+        who, at = np.nonzero(np.isfinite(top.score))
+        if len(who):
+            columns = [pa.array([ids[i] for i in who], id_type), pa.array(top.key[who, at]), pa.array(top.doc[who, at].tolist(), doc_type), pa.array(top.score[who, at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_ord", "doc_id", "score"])
+
     local = source.mapInArrow(best, f"query_id {id_kind.simpleString()}, chunk_ord bigint, doc_id {doc_kind.simpleString()}, score double")
     return ranked(local, pool)
 
@@ -240,23 +356,41 @@ def minmax(scores: DataFrame, group: list[str], score: str) -> DataFrame:
     return scores.join(ends, group).withColumn("scaled", scaled).drop("__low", "__high")
 
 
-def rerank_candidates(queries: DataFrame, chunks: DataFrame, k: int = 5, alpha: float = 0.7, per_doc: int = 2, key: str = "chunk_ord", doc: str = "doc_id", text: str = "text", vector: str = "embedding") -> DataFrame:
-    """As ``search``, but the lexical score is computed among each query's dense candidates alone, and scaled within them."""
-    pool = pool_size(k, max(per_doc, 1))
-    dense = cut(search(queries, chunks, pool, alpha, 0, hybrid=False, key=key, doc=doc, text=text, vector=vector))
-    texts = chunks.select(F.col(key).alias("chunk_ord"), F.col(text).alias("__t")).join(dense.select("chunk_ord").distinct(), "chunk_ord")
-    tokens = cut(dense.join(texts, "chunk_ord").select("query_id", "chunk_ord", "doc_id", "score", search_tokens(F.coalesce("__t", F.lit(""))).alias("__tokens")))
-    stats = tokens.groupBy("query_id").agg(F.count("*").alias("__n"), F.avg(F.size("__tokens")).alias("__avgdl"))
-    tf = tokens.select("query_id", "chunk_ord", F.size("__tokens").alias("__dl"), F.explode("__tokens").alias("term")).groupBy("query_id", "chunk_ord", "__dl", "term").agg(F.count("*").alias("__tf"))
-    wanted = queries.select("query_id", F.explode(search_tokens(F.coalesce("text", F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("__qtf"))
-    met = tf.join(wanted, ["query_id", "term"])
-    df = met.groupBy("query_id", "term").agg(F.count("*").alias("__df"))
-    idf = F.log(1 + (F.col("__n") - F.col("__df") + 0.5) / (F.col("__df") + 0.5))
-    avgdl = F.when(F.col("__avgdl") > 0, F.col("__avgdl")).otherwise(1.0)
-    part = F.col("__qtf") * idf * F.col("__tf") * (K1 + 1) / (F.col("__tf") + K1 * (1 - B + B * F.col("__dl") / avgdl))
-    lexical = met.join(df, ["query_id", "term"]).join(stats, "query_id").groupBy("query_id", "chunk_ord").agg(F.sum(part).alias("__lex"))
-    both = tokens.drop("__tokens").join(lexical, ["query_id", "chunk_ord"], "left").withColumn("__lex", F.coalesce("__lex", F.lit(0.0)))
-    both = minmax(both, ["query_id"], "score").withColumnRenamed("scaled", "__d")
-    both = minmax(both, ["query_id"], "__lex").withColumnRenamed("scaled", "__l")
-    final = both.select("query_id", "chunk_ord", "doc_id", F.round(alpha * F.col("__d") + (1 - alpha) * F.col("__l"), 6).alias("score"))
-    return diverse(ranked(final, pool), k, per_doc)
+def rerank(candidates: DataFrame, queries: DataFrame, k: int = 5, alpha: float = 0.7, per_doc: int = 2) -> DataFrame:
+    """As ``search``, of candidates alone (query_id, chunk_ord, doc_id, text, score, as an index or a vector server gives them):
+    the lexical score is computed among each query's candidates, and both scores are scaled within them.
+
+    A query's candidates, a bounded number, are one row and are scored together.
+    """
+    packed = candidates.groupBy("query_id").agg(F.collect_list(F.struct("chunk_ord", "doc_id", "text", "score")).alias("__c"))
+    rows = packed.join(queries.select("query_id", F.col("text").alias("__q")), "query_id")
+    id_kind, doc_kind = (candidates.schema[c].dataType.simpleString() for c in ("query_id", "doc_id"))
+    doc_type = to_arrow_type(candidates.schema["doc_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                found = batch.column(1)[i].as_py()
+                terms = [term_counts(c["text"]) for c in found]
+                dl = np.array([n for n, _ in terms], float)
+                avgdl = dl.mean() or 1.0
+                lexical = np.zeros(len(found))
+                for term, times in term_counts(batch.column(2)[i].as_py())[1].items():
+                    tf = np.array([c.get(term, 0) for _, c in terms], float)
+                    df = (tf > 0).sum()
+                    lexical += times * np.log(1 + (len(found) - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+                both = [np.array([c["score"] for c in found]), lexical]
+                dense, lexical = (_scaled(x[None], x.min(keepdims=True), x.max(keepdims=True))[0] for x in both)
+                score = np.round(alpha * dense + (1 - alpha) * lexical, 6)
+                ids = batch.column(0).take(pa.array([i] * len(found)))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([c["chunk_ord"] for c in found]), pa.array([c["doc_id"] for c in found], doc_type), pa.array(score)], names=["query_id", "chunk_ord", "doc_id", "score"])
+
+    final = rows.select("query_id", "__c", "__q").mapInArrow(run, f"query_id {id_kind}, chunk_ord bigint, doc_id {doc_kind}, score double")
+    return diverse(ranked(final, pool_size(k, max(per_doc, 1))), k, per_doc)
+
+
+def rerank_candidates(queries: DataFrame, index: SearchIndex, chunks: DataFrame, k: int = 5, alpha: float = 0.7, per_doc: int = 2, key: str = "chunk_ord", text: str = "text") -> DataFrame:
+    """``rerank`` of the dense candidates that an index finds; ``chunks`` has their texts."""
+    dense = cut(search(queries, index, pool_size(k, max(per_doc, 1)), alpha, 0, hybrid=False))
+    texts = chunks.select(F.col(key).alias("chunk_ord"), F.col(text).alias("text"))
+    return rerank(dense.join(texts, "chunk_ord").select("query_id", "chunk_ord", "doc_id", "text", "score"), queries, k, alpha, per_doc)

@@ -15,6 +15,7 @@ from skerry.functions import text as X
 from skerry.functions.vectors import norm, unit
 from skerry.operators import chunk, context, evaluate, fallback, html, lexical, manifest, providers, search
 from skerry.session import cut, table
+from skerry.sources.index import kept_index
 from skerry.streaming.append import latency_stream
 
 
@@ -26,8 +27,13 @@ def _queries(spark: SparkSession, folder: str) -> DataFrame:
     return asked.join(first, "doc_id", "left").select("query_id", "text", "vector")
 
 
+def _index(spark: SparkSession, folder: str) -> search.SearchIndex:
+    """The search index of the chunks, made at the first query over these files and kept in the shared folder."""
+    return kept_index(table(spark, folder, "chunks"), table(spark, folder, "chunks", wide=True))
+
+
 def _hits(spark: SparkSession, folder: str, **options) -> DataFrame:
-    return search.search(_queries(spark, folder), table(spark, folder, "chunks", wide=True), **options)
+    return search.search(_queries(spark, folder), _index(spark, folder), **options)
 
 
 def _hits_with_chunks(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,7 +62,7 @@ def bm25_scores(spark, folder):
 
 def bm25_topk(spark, folder):
     asked = table(spark, folder, "eval_questions").select(F.col("id").alias("query_id"), F.col("question").alias("text"), F.lit(None).cast("array<float>").alias("vector"))
-    hits = search.search(asked, table(spark, folder, "chunks", wide=True), per_doc=0, lexical_only=True)
+    hits = search.search(asked, _index(spark, folder), per_doc=0, lexical_only=True)
     return hits.select("query_id", "rank", "chunk_ord", "score")
 
 
@@ -70,12 +76,16 @@ def _vector_queries(spark, folder):
     return rows.select(F.col("vec_id").alias("query_id"), F.lit(None).cast("string").alias("text"), F.col("embedding").alias("vector"))
 
 
+def _vectors(spark, folder):
+    return search.build_index(table(spark, folder, "embeddings"), "vec_id", "label", None)
+
+
 def dense_topk(spark, folder):
-    return search.search(_vector_queries(spark, folder), table(spark, folder, "embeddings"), per_doc=0, hybrid=False, key="vec_id", doc="label", text="label")
+    return search.search(_vector_queries(spark, folder), _vectors(spark, folder), per_doc=0, hybrid=False)
 
 
 def dense_topk_diverse(spark, folder):
-    return search.search(_vector_queries(spark, folder), table(spark, folder, "embeddings"), per_doc=2, hybrid=False, key="vec_id", doc="label", text="label")
+    return search.search(_vector_queries(spark, folder), _vectors(spark, folder), per_doc=2, hybrid=False)
 
 
 def minmax_scores(spark, folder):
@@ -92,7 +102,7 @@ def hybrid_topk_diverse(spark, folder):
 
 
 def candidate_rerank(spark, folder):
-    return search.rerank_candidates(_queries(spark, folder), table(spark, folder, "chunks", wide=True))
+    return search.rerank_candidates(_queries(spark, folder), _index(spark, folder), table(spark, folder, "chunks"))
 
 
 def split_sections(spark, folder):
@@ -241,10 +251,9 @@ def hit_sources(spark, folder):
 
 
 def needs_fallback(spark, folder):
-    asked = table(spark, folder, "eval_questions").withColumnRenamed("id", "query_id")
-    scores = lexical.bm25(lexical.build(table(spark, folder, "chunks", wide=True), only=lexical.query_terms(asked)), asked)
-    rows = fallback.needs_fallback(asked, scores.withColumn("score", F.round("score", 6)), 12.0)
-    return rows
+    asked = table(spark, folder, "eval_questions").select(F.col("id").alias("query_id"), F.col("question").alias("text"), F.lit(None).cast("array<float>").alias("vector"))
+    best = search.search(asked, _index(spark, folder), 1, per_doc=0, lexical_only=True)
+    return fallback.needs_fallback(asked, best, 12.0)
 
 
 def pick_best_hit(spark, folder):

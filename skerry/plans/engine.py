@@ -42,7 +42,7 @@ class Engine:
         s = self.settings
         queries = providers.with_query_vectors(questions.select("query_id", F.col("question").alias("text")), self.provider)
         chunks = self.index.open()
-        hits = search.search(queries, chunks, k or s.top_k, s.alpha, s.per_doc, s.hybrid)
+        hits = search.search(queries, self.index.searchable(), k or s.top_k, s.alpha, s.per_doc, s.hybrid)
         names = chunks.select("chunk_ord", "text", "section", F.col("metadata.title").alias("title"), F.col("metadata.source").alias("url"))
         return hits.join(names, "chunk_ord")
 

@@ -23,19 +23,23 @@ def table(spark: SparkSession, folder: str, name: str, wide: bool = False) -> Da
     return df.repartition(cores) if wide and df.rdd.getNumPartitions() <= cores // 2 else df
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+def checkpoint_folder(session: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``, which every executor shares.
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``, which every
-    executor shares, so the rows survive the loss of any executor. Only a local session
-    without that setting (tests on one machine) gets a folder of its own; on a cluster it is an error.
+    Only a local session without that setting (tests on one machine) gets a folder of its own; on a cluster it is an error.
     """
-    context = df.sparkSession.sparkContext
+    context = session.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = session.conf.get("spark.checkpoint.dir", None)
         if folder is None and context.master.partition("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="skerry-"))
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder, so the rows survive the loss of any executor."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 

@@ -1,7 +1,12 @@
-"""The chunk index as Parquet tables: build, append, open; versions are swapped by one small pointer file."""
+"""The chunk index as Parquet tables: build, append, open; versions are swapped by one small pointer file.
+
+A version holds the chunks, their packed blocks of postings and vectors, which is all that a search
+reads, and the ids of its documents, which is all that an append reads of what is there.
+"""
 
 from __future__ import annotations
 
+import hashlib
 import json
 import time
 import uuid
@@ -10,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.operators.fallback import not_indexed
-from skerry.session import cut
+from skerry.operators.search import SearchIndex, build_index
+from skerry.session import checkpoint_folder, cut
 
 
 class IndexError_(RuntimeError):
@@ -31,44 +37,80 @@ class ChunkIndex:
         files, path = self._pointer()
         return json.loads(self.spark.read.text(path.toString(), wholetext=True).first()[0])["version"] if files.exists(path) else None
 
-    def create(self, chunks: DataFrame) -> ChunkIndex:
-        if chunks.isEmpty():
-            raise IndexError_("an index needs at least one chunk")
-        version = f"{int(time.time())}-{uuid.uuid4().hex[:8]}"
-        chunks.write.parquet(f"{self.folder}/{version}")
+    def _point(self, version: str, chunks: int) -> None:
         files, path = self._pointer()
         out = files.create(path, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
+        out.write(bytearray(json.dumps({"version": version, "chunks": chunks}).encode()))
         out.close()
-        return self
 
-    def open(self) -> DataFrame:
+    def _read(self, what: str) -> DataFrame:
         version = self._version()
         if version is None:
             raise IndexError_(f"there is no index in {self.folder}; build one first")
-        return self.spark.read.parquet(f"{self.folder}/{version}")
+        return self.spark.read.parquet(f"{self.folder}/{version}/{what}")
+
+    def _write(self, chunks: DataFrame, version: str) -> None:
+        """Blocks and ids first: an append that dies before the chunks are there is done again whole."""
+        chunks.write.mode("append").parquet(f"{self.folder}/{version}/chunks")
+        stored = chunks.select("chunk_ord", "doc_id", "text", "embedding")
+        build_index(stored).blocks.write.mode("append").parquet(f"{self.folder}/{version}/blocks")
+        chunks.groupBy("doc_id").agg(F.max("chunk_ord").alias("last")).write.mode("append").parquet(f"{self.folder}/{version}/documents")
+
+    def create(self, chunks: DataFrame) -> ChunkIndex:
+        if chunks.isEmpty():
+            raise IndexError_("an index needs at least one chunk")
+        version = f"{int(time.time())}-{uuid.uuid4().hex[:8]}"
+        chunks = cut(chunks)
+        self._write(chunks, version)
+        self._point(version, chunks.count())
+        return self
+
+    def open(self) -> DataFrame:
+        return self._read("chunks")
+
+    def searchable(self) -> SearchIndex:
+        return SearchIndex(self._read("blocks"))
 
     def append(self, chunks: DataFrame) -> int:
         """Add the chunks of documents that the index lacks; the number of chunks added. Run twice, it adds nothing.
 
-        Ordinals go on from the highest; the new rows are cut off first, for they are counted from what is then changed.
+        Only the table of document ids is read of what is there. Ordinals go on from the highest; the new
+        rows are cut off first, for they are counted from what is then changed. One writer at a time.
         """
-        old = self.open()
-        new = not_indexed(chunks, old)
-        start = old.agg(F.coalesce(F.max("chunk_ord"), F.lit(-1))).first()[0] + 1
+        known = self._read("documents")
+        new = not_indexed(chunks, known)
+        start = known.agg(F.coalesce(F.max("last"), F.lit(-1))).first()[0] + 1
         rows = cut(with_ordinals(new.drop("chunk_ord"), start))
         n = rows.count()
         if n:
-            rows.select(*old.columns).write.mode("append").parquet(f"{self.folder}/{self._version()}")
+            self._write(rows.select(*self.open().columns), self._version())
         return n
 
     def contains(self, docs: DataFrame) -> DataFrame:
-        return docs.join(self.open().select("doc_id").distinct(), "doc_id", "left_semi")
+        return docs.join(self._read("documents").select("doc_id").distinct(), "doc_id", "left_semi")
 
     def count(self) -> int:
         return self.open().count()
 
 
+def kept_index(chunks: DataFrame, source: DataFrame) -> SearchIndex:
+    """The search index of a table of files, made from ``source`` (its rows) unless the shared folder has it already.
+
+    It is kept under a digest of the files' names, sizes and times, so changed files get another one.
+    """
+    session = chunks.sparkSession
+    path_of, conf = session._jvm.org.apache.hadoop.fs.Path, session._jsc.hadoopConfiguration()
+    told = []
+    for name in sorted(chunks.inputFiles()):
+        status = (path := path_of(name)).getFileSystem(conf).getFileStatus(path)
+        told.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    folder = f"{checkpoint_folder(session)}/search-{hashlib.sha256(chr(10).join(told).encode()).hexdigest()[:24]}"
+    done = path_of(f"{folder}/_SUCCESS")
+    if not done.getFileSystem(conf).exists(done):
+        build_index(source).blocks.write.mode("overwrite").parquet(folder)
+    return SearchIndex(session.read.parquet(folder))
+
+
 def with_ordinals(chunks: DataFrame, start: int = 0, salts: int = 256) -> DataFrame:
     """``chunks`` with chunk_ord from ``start`` on, in the order of a hash of doc_id, doc_id, and the ordinal in chunk_id.
 

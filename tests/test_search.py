@@ -62,7 +62,7 @@ def brute(rows, question, k, alpha, cap):
 def test_hybrid_is_as_brute_force(spark, data, cap):
     chunks, queries, rows, asked = data
     got = {}
-    for r in search.search(queries, chunks, per_doc=cap, block=4).orderBy("rank").collect():
+    for r in search.search(queries, search.build_index(chunks), per_doc=cap, block=4).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append((r["chunk_ord"], r["score"]))
     for q in asked:
         want = brute(rows, q, 5, 0.7, cap)
@@ -71,26 +71,26 @@ def test_hybrid_is_as_brute_force(spark, data, cap):
 
 def test_alpha_at_either_end_is_dense_only(spark, data):
     chunks, queries, *_ = data
-    dense = search.search(queries, chunks, hybrid=False).orderBy("query_id", "rank").collect()
+    dense = search.search(queries, search.build_index(chunks), hybrid=False).orderBy("query_id", "rank").collect()
     for alpha in (0, 1):
-        assert search.search(queries, chunks, alpha=alpha).orderBy("query_id", "rank").collect() == dense
+        assert search.search(queries, search.build_index(chunks), alpha=alpha).orderBy("query_id", "rank").collect() == dense
 
 
 def test_lexical_blocks_are_as_the_join(spark, data):
     chunks, queries, *_ = data
     joined = lexical.bm25(lexical.build(chunks), queries, text="text").withColumn("score", F.round("score", 6)).withColumn("doc_id", F.lit(""))
     want = sorted(map(tuple, search.ranked(joined.select("query_id", F.col("chunk").alias("chunk_ord"), "doc_id", "score"), 5).select("query_id", "rank", "chunk_ord", "score").collect()))
-    got = sorted(map(tuple, search.search(queries, chunks, per_doc=0, lexical_only=True).select("query_id", "rank", "chunk_ord", "score").collect()))
+    got = sorted(map(tuple, search.search(queries, search.build_index(chunks), per_doc=0, lexical_only=True).select("query_id", "rank", "chunk_ord", "score").collect()))
     assert got == want and "none" not in {g[0] for g in got}
 
 
 def test_partitions_do_not_matter(spark, data):
     chunks, queries, *_ = data
-    a, b = (search.search(queries, chunks.repartition(n)).orderBy("query_id", "rank").collect() for n in (1, 8))
+    a, b = (search.search(queries, search.build_index(chunks.repartition(n))).orderBy("query_id", "rank").collect() for n in (1, 8))
     assert a == b
 
 
 def test_empty_tables(spark, data):
     chunks, queries, *_ = data
-    assert search.search(queries, chunks.limit(0)).count() == 0
-    assert search.search(queries.limit(0), chunks).count() == 0
+    assert search.search(queries, search.build_index(chunks.limit(0))).count() == 0
+    assert search.search(queries.limit(0), search.build_index(chunks)).count() == 0
