@@ -1,4 +1,4 @@
-"""Command line: ``python -m skerry.cli ingest | ask | chat | eval | info``."""
+"""Command line: ``python -m skerry.cli scrape | ingest | ask | chat | eval | info``."""
 
 from __future__ import annotations
 
@@ -7,10 +7,11 @@ import logging
 import sys
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from skerry.config import Settings
 from skerry.plans.engine import Engine
-from skerry.sources.corpus import chosen_questions, load_eval_set, write_report
+from skerry.sources.corpus import chosen_questions, load_eval_set
 
 log = logging.getLogger("skerry")
 
@@ -25,9 +26,12 @@ def configure_logging(level: str = "INFO", file: str = "", force: bool = False)
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="skerry")
-    parser.add_argument("--log-level", default="INFO")
-    parser.add_argument("--log-file", default="")
+    parser.add_argument("--log-level")
+    parser.add_argument("--log-file")
     commands = parser.add_subparsers(dest="command", required=True)
+    scrape = commands.add_parser("scrape")
+    scrape.add_argument("--wiki")
+    scrape.add_argument("--character")
     commands.add_parser("ingest")
     ask = commands.add_parser("ask")
     ask.add_argument("question")
@@ -42,9 +46,9 @@ def main(args: list[str] | None = None) -> int:
     evaluation.add_argument("--out")
     commands.add_parser("info")
     given = parser.parse_args(args)
-    configure_logging(given.log_level, given.log_file)
+    settings = Settings.from_env()
+    configure_logging(given.log_level or settings.log_level, given.log_file or settings.log_file)
     spark = SparkSession.builder.appName("skerry").getOrCreate()
-    engine = Engine(spark, Settings.from_env())
 
     def answer(question: str, k: int = 0, with_sources: bool = True) -> None:
         rows = spark.createDataFrame([("q", question)], "query_id string, question string")
@@ -54,7 +58,17 @@ def main(args: list[str] | None = None) -> int:
             print(f"  [{s['rank']}] {s['title']} — {s['section']} ({s['score']}) {s['url']}")
 
     try:
-        if given.command == "ingest":
+        engine = Engine(spark, settings)
+        if given.command in ("ingest", "ask", "chat", "eval"):
+            for model in engine.check_ready(given.command == "eval"):
+                log.warning("the model server doesn't list %s", model)
+        if given.command == "scrape":
+            rows = engine.scrape(given.wiki, given.character)
+            for r in rows.orderBy("wiki", "slug").toLocalIterator():
+                print(f"  {'ok' if r['ok'] else 'FAIL'}  {r['wiki']} {r['title']}" + (f" ({r['chars']} characters)" if r["ok"] else f": {r['error']}"))
+            n = rows.agg(F.count_if("ok"), F.count("*")).first()
+            print(f"{n[0]} scraped, {n[1] - n[0]} failed")
+        elif given.command == "ingest":
             print(engine.ingest())
         elif given.command == "ask":
             answer(given.question, given.k, given.sources)
@@ -62,10 +76,10 @@ def main(args: list[str] | None = None) -> int:
             for line in iter(lambda: input("> ").strip(), ""):
                 answer(line)
         elif given.command == "eval":
-            report, _ = engine.evaluate(chosen_questions(load_eval_set(spark, given.path), given.category, given.limit), given.retrieval_only)
+            report, results = engine.evaluate(chosen_questions(load_eval_set(spark, given.path), given.category, given.limit), given.retrieval_only)
             report.show(truncate=False)
             if given.out:
-                write_report(report, given.out)
+                engine.write_report(report, results, given.out, given.retrieval_only)
         else:
             for name, value in engine.describe().items():
                 print(f"{name}: {value}")

@@ -31,6 +31,14 @@ class Settings:
     embed_batch: int = 16
     timeout_s: int = 120
     corpus_dir: str = "data/corpus"
+    store: str = "local"
+    server_url: str = "http://localhost:6333"
+    collection: str = "chunks"
+    server_batch: int = 256
+    wikis: str = "marvel=https://marvel.fandom.com,dc=https://dc.fandom.com"
+    pages_file: str = ""
+    delay_s: float = 0.5
+    retries: int = 3
     index_dir: str = "data/index"
     log_level: str = "INFO"
     log_file: str = ""
@@ -39,6 +47,11 @@ class Settings:
     def effective_judge(self) -> str:
         return self.judge_model or self.chat_model
 
+    @property
+    def wiki_urls(self) -> dict[str, str]:
+        """The base URL of each wiki."""
+        return dict(x.strip().split("=", 1) for x in self.wikis.split(",") if "=" in x)
+
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None, prefix: str = "SKERRY_") -> Settings:
         """Settings from environment variables; an empty or unset number keeps its default, true is 1, true, yes or on."""

@@ -26,6 +26,21 @@ def prompts(hits: DataFrame, queries: DataFrame, budget: int = 12_000, question:
     return rows.select("query_id", F.greatest("__n", F.lit(0)).alias("n_passages"), "context", prompt.alias("prompt"))
 
 
+#: What the model is told to do with the passages.
+SYSTEM = (
+    "You answer questions about the characters and events of comic-book universes. Use the numbered passages below and nothing "
+    "else that you may know. Keep it to a few sentences that answer the question, and put the number of each passage you rely on "
+    'in square brackets after the statement, like [2]. If the passages don\'t hold the answer, don\'t guess: write only "I don\'t '
+    'know: that information is not in my knowledge base."'
+)
+
+
+def whole_context(hits: DataFrame, text: str = "text") -> DataFrame:
+    """query_id and context: the texts of all hits of a query in the order of their ranks, whatever their length."""
+    listed = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.coalesce(F.col(text), F.lit("")).alias("t")))).alias("ts"))
+    return listed.select("query_id", F.array_join(F.transform("ts", lambda x: x["t"]), "\n\n").alias("context"))
+
+
 def sources(hits: DataFrame) -> DataFrame:
     """query_id, rank, doc, title, section, score (4 digits) and url of all hits, also of those cut from the prompt."""
     blank = F.lit("")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skerry.functions.text import answer_tokens
+from skerry.session import cut
 
 MEASURES = ("hit_rate", "precision", "recall", "mrr", "ndcg", "token_f1", "faithfulness", "relevance", "correctness", "abstention_correct")
 
@@ -52,31 +53,49 @@ def token_f1(pairs: DataFrame, key: str, answer: str, reference: str) -> DataFra
     return rows.select(key, F.when(F.col("__o") > 0, f1).otherwise(0.0).alias("token_f1"))
 
 
-def low_p95(values: Column) -> Column:
-    """The value at rank int(0.95 n), at least 1, of the sorted values: lower than a usual percentile, never between two."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, F.greatest(F.lit(1), F.floor(F.size(ordered) * F.lit(0.95)).cast("int")))
+def low_p95(rows: DataFrame, group: list[str], value: str, ranges: int = 256) -> DataFrame:
+    """``group``, n, mean and p95 of the values that aren't null.
+
+    p95 is the value at rank int(0.95 n), at least 1: lower than a usual percentile, never
+    between two. Values are counted, the counts added up in ``ranges`` ranges of about equal
+    weight, and only the range that holds the rank is put in order, so no task sorts a whole group.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    counts = cut(counts)
+    ends = counts.agg(F.percentile_approx("__v", [i / ranges for i in range(1, ranges)], F.lit(10 * ranges))).first()[0] or []
+    place = F.size(F.filter(F.array(*[F.lit(x) for x in sorted(set(ends))]) if ends else F.expr("cast(array() as array<double>)"), lambda x: x < F.col("__v")))
+    placed = counts.withColumn("__r", place)
+    parts = placed.groupBy(*group, "__r").agg(F.sum("__c").alias("__n"), F.sum(F.col("__v") * F.col("__c")).alias("__sum"))
+    mine = Window.partitionBy(*group)
+    upto = F.sum("__n").over(mine.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0))
+    parts = parts.withColumn("__upto", upto).withColumn("n", F.sum("__n").over(mine)).withColumn("mean", F.sum("__sum").over(mine) / F.col("n"))
+    rank = F.greatest(F.lit(1), F.floor(F.col("n") * F.lit(0.95)))
+    there = parts.filter((F.col("__upto") >= rank) & (F.col("__upto") - F.col("__n") < rank)).select(*[F.col(g).alias(f"__{g}") for g in group], F.col("__r").alias("__there"), "n", "mean", (F.col("__upto") - F.col("__n")).alias("__before"))
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in group]
+    near = placed.join(there, [*same, F.col("__r") == F.col("__there")])
+    upto = F.col("__before") + F.sum("__c").over(mine.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    near = near.withColumn("__upto", upto).filter(F.col("__upto") >= rank)
+    return near.groupBy(*group).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.min("__v").alias("p95"))
 
 
 def report(results: DataFrame, measures: tuple[str, ...] = MEASURES, category: str = "category") -> DataFrame:
     """Means of the measures (4 digits; null where no question has a value), latencies and n: overall (category null, overall true) and by category."""
+    results = results.withColumnRenamed(category, "category")
     kept = [m for m in measures if m in results.columns]
     aggs = [F.round(F.avg(m), 4).alias(m) for m in kept]
-    if "total_seconds" in results.columns:
-        aggs += [F.round(F.avg("total_seconds"), 2).alias("latency_mean_s"), F.round(low_p95(F.col("total_seconds")), 2).alias("latency_p95_s")]
     if "retrieval_seconds" in results.columns:
         aggs.append(F.round(F.avg("retrieval_seconds"), 3).alias("retrieval_mean_s"))
-    return results.rollup(category).agg(F.grouping(category).cast("boolean").alias("overall"), *aggs, F.count("*").alias("n"))
+    rows = results.rollup("category").agg(F.grouping("category").cast("boolean").alias("overall"), *aggs, F.count("*").alias("n"))
+    if "total_seconds" not in results.columns:
+        return rows.withColumnRenamed("category", category)
+    told = latency_report(results, "category", "total_seconds")
+    told = told.select(F.col("category").alias("__c"), F.col("overall").alias("__o"), F.round("mean", 2).alias("latency_mean_s"), F.round("p95", 2).alias("latency_p95_s"))
+    rows = rows.join(told, F.col("category").eqNullSafe(F.col("__c")) & (F.col("overall") == F.col("__o")), "left").drop("__c", "__o")
+    return rows.withColumnRenamed("category", category)
 
 
 def latency_report(records: DataFrame, category: str, seconds: str) -> DataFrame:
-    """category, overall, n, mean, p95: as ``report``; ranks come from a window over each group's values, so no group is collected."""
-    rows = records.filter(F.col(seconds).isNotNull())
-    both = rows.select(F.col(category).alias("category"), F.lit(False).alias("overall"), F.col(seconds).alias("__s"))
-    both = both.unionByName(rows.select(F.lit(None).cast("string").alias("category"), F.lit(True).alias("overall"), F.col(seconds).alias("__s")))
-    counts = both.groupBy("overall", "category", "__s").agg(F.count("*").alias("__c"))
-    upto = "sum(__c) over (partition by overall, category order by __s)"
-    total = "sum(__c) over (partition by overall, category)"
-    placed = counts.withColumn("__upto", F.expr(upto)).withColumn("__n", F.expr(total))
-    p95 = F.min(F.when(F.col("__upto") >= F.greatest(F.lit(1), F.floor(F.col("__n") * F.lit(0.95))), F.col("__s")))
-    return placed.groupBy("overall", "category").agg(F.sum("__c").alias("n"), (F.sum(F.col("__s") * F.col("__c")) / F.sum("__c")).alias("mean"), p95.alias("p95"))
+    """category, overall, n, mean, p95: as ``report``."""
+    both = records.select(F.explode(F.array(F.lit(False), F.lit(True))).alias("overall"), F.col(category).alias("__category"), F.col(seconds).alias("__s"))
+    both = both.select("overall", F.when(~F.col("overall"), F.col("__category")).alias("category"), "__s")
+    return low_p95(both, ["overall", "category"], "__s").select("category", "overall", "n", "mean", "p95")

@@ -14,7 +14,7 @@ import urllib.error
 import urllib.request
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 import numpy as np
@@ -143,6 +143,19 @@ def create(settings: Settings) -> Provider:
     raise ProviderError(f"no provider is called {settings.provider!r}")
 
 
+def judge_of(provider: Provider, settings: Settings) -> Provider:
+    """The provider that grades: the same server with the judge's model, where one is set."""
+    return replace(provider, chat_model=settings.effective_judge) if isinstance(provider, HttpProvider) else provider
+
+
+def check_ready(provider: Provider, wanted: list[str]) -> list[str]:
+    """Models that are missing; an error for a server on one's own machine, which then has to get them, else only told."""
+    lacking = missing_models(provider, wanted)
+    if lacking and not (isinstance(provider, HttpProvider) and provider.style == "v1"):
+        raise ProviderError(f"the model server lacks {', '.join(lacking)}")
+    return lacking
+
+
 def missing_models(provider: Provider, wanted: list[str]) -> list[str]:
     """Models that the server lacks; ``m`` is there if ``m:latest`` is."""
     there = set(provider.available_models())
@@ -164,30 +177,57 @@ def with_embedding(df: DataFrame, provider: Provider, text: str = "text", out: s
     return df.select(*names).mapInArrow(run, f"{schema}, `{out}` array<float>")
 
 
-def with_query_vectors(queries: DataFrame, provider: Provider, text: str = "text") -> DataFrame:
-    """``queries`` with vector; each different normalised text is embedded once."""
+@dataclass(frozen=True)
+class _Remembered:
+    """A provider that keeps the vectors of the last ``size`` texts in each worker, which lives on from query to query."""
+
+    provider: Provider
+    size: int = 10_000
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        known = _vectors.setdefault(repr(self.provider), {})
+        new = list(dict.fromkeys(t for t in texts if t not in known))
+        fresh = dict(zip(new, self.provider.embed(new), strict=True)) if new else {}
+        out = [known.pop(t) if t in known else fresh[t] for t in dict.fromkeys(texts)]
+        found = dict(zip(dict.fromkeys(texts), out, strict=True))
+        known.update(found)  # what was used last is last
+        while len(known) > self.size:
+            del known[next(iter(known))]
+        return [found[t] for t in texts]
+
+
+_vectors: dict[str, dict[str, list[float]]] = {}
+
+
+def with_query_vectors(queries: DataFrame, provider: Provider, text: str = "text", remember: int = 10_000) -> DataFrame:
+    """``queries`` with vector; each different normalised text is embedded once, and remembered by the worker for later queries."""
     rows = queries.withColumn("__norm", normal_query(F.col(text)))
-    vectors = with_embedding(rows.select("__norm").filter("__norm is not null").distinct(), provider, "__norm", "vector")
+    kept = _Remembered(provider, remember) if remember > 0 else provider
+    vectors = with_embedding(rows.select("__norm").filter("__norm is not null").distinct(), kept, "__norm", "vector")
     return rows.join(vectors, "__norm", "left").drop("__norm")
 
 
-def with_answer(prompts: DataFrame, provider: Provider, prompt: str = "prompt", out: str = "answer", system: str = "") -> DataFrame:
-    """``prompts`` with the provider's reply; null where it fails or there is no prompt."""
-    names = [c for c in prompts.columns if c != out]
+def with_answer(prompts: DataFrame, provider: Provider, prompt: str = "prompt", out: str = "answer", system: str = "", seconds: str | None = None) -> DataFrame:
+    """``prompts`` with the provider's reply, and the seconds it took if ``seconds`` names a column; null where it fails or there is no prompt."""
+    names = [c for c in prompts.columns if c not in (out, seconds)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.select(*names).schema)
+    more = [out, *([seconds] if seconds else [])]
 
-    def ask(text: str | None) -> str | None:
+    def ask(text: str | None) -> tuple[str | None, float | None]:
+        began = time.perf_counter()
         try:
-            return None if text is None else provider.generate(text, system)
+            return (None, None) if text is None else (provider.generate(text, system), time.perf_counter() - began)
         except ProviderError:
-            return None
+            return None, time.perf_counter() - began
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            replies = pa.array([ask(t) for t in batch.column(names.index(prompt)).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, replies], names=[*names, out])
+            replies = [ask(t) for t in batch.column(names.index(prompt)).to_pylist()]
+            columns = [pa.array([x for x, _ in replies], pa.string()), pa.array([x for _, x in replies], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns[: len(more)]], names=[*names, *more])
 
-    return prompts.select(*names).mapInArrow(run, f"{schema}, `{out}` string")
+    kinds = f", `{out}` string" + (f", `{seconds}` double" if seconds else "")
+    return prompts.select(*names).mapInArrow(run, schema + kinds)
 
 
 JUDGE_SYSTEM = "You grade answers. Reply with one whole number from 1 to 5 and nothing else."

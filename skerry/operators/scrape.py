@@ -37,7 +37,7 @@ def documents_of(pages: DataFrame, scraped: str, most: int = 60_000, least: int
     short = F.concat(F.lit("page too short ("), F.col("__n").cast("string"), F.lit(" characters)"))
     error = F.when(good, "").when(F.coalesce("ok", F.lit(False)), short).otherwise(F.coalesce("error", F.lit("not fetched")))
     results = rows.select(
-        "wiki", "title", slugify(F.col("title")).alias("slug"), good.alias("ok"), F.when(good, F.concat(F.lit("corpus/"), F.col("doc_id"))).otherwise("").alias("path"),
+        "wiki", "title", slugify(F.col("title")).alias("slug"), good.alias("ok"), F.when(good, F.concat(F.lit("pages/"), F.col("doc_id"))).otherwise("").alias("path"),
         F.coalesce("url", F.lit("")).alias("url"), F.when(good, F.col("__n")).otherwise(0).cast("bigint").alias("chars"), error.alias("error"),
     )
     return documents, results

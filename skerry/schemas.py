@@ -3,10 +3,6 @@
 from pyspark.sql import types as T
 
 METADATA = T.StructType([T.StructField(x, T.StringType()) for x in ("title", "universe", "source")])
-CORPUS_DOC = T.StructType(
-    [T.StructField(x, T.StringType()) for x in ("doc_id", "title", "body")]
-    + [T.StructField("meta", T.MapType(T.StringType(), T.StringType()))]
-)
 CHUNK = T.StructType(
     [
         T.StructField("chunk_ord", T.LongType()),

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.operators.fallback import not_indexed
-from skerry.operators.search import SearchIndex, build_index
+from skerry.operators.search import SearchIndex, build_index, search
 from skerry.session import checkpoint_folder, cut
 
 
@@ -86,12 +86,21 @@ class ChunkIndex:
             self._write(rows.select(*self.open().columns), self._version())
         return n
 
+    def search(self, queries: DataFrame, k: int, alpha: float, per_doc: int, hybrid: bool) -> DataFrame:
+        """Hits with text, section, title and url of their chunks; only the chunks that are hits are looked up."""
+        hits = search(queries, self.searchable(), k, alpha, per_doc, hybrid)
+        names = self.open().select("chunk_ord", "text", "section", F.col("metadata.title").alias("title"), F.col("metadata.source").alias("url"))
+        return hits.join(names, "chunk_ord")
+
     def contains(self, docs: DataFrame) -> DataFrame:
         return docs.join(self._read("documents").select("doc_id").distinct(), "doc_id", "left_semi")
 
     def count(self) -> int:
         return self.open().count()
 
+    def ready(self) -> bool:
+        return self._version() is not None
+
 
 def kept_index(chunks: DataFrame, source: DataFrame) -> SearchIndex:
     """The search index of a table of files, made from ``source`` (its rows) unless the shared folder has it already.

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from skerry.sources.wiki import with_retries
 
-FIELDS = ("doc_id", "chunk_id", "text", "section")
+FIELDS = ("doc_id", "chunk_id", "text", "section", "title", "url")
 
 
 @dataclass(frozen=True)
@@ -60,11 +60,32 @@ class VectorServer:
             if points:
                 server.call("PUT", "/points?wait=true", {"points": points})
 
-        chunks.filter("embedding is not null").select("chunk_ord", "embedding", *FIELDS).foreachPartition(write)
+        named = {"title": F.col("metadata.title"), "url": F.col("metadata.source")} if "metadata" in chunks.columns else {"title": F.lit(""), "url": F.lit("")}
+        rows = chunks.withColumns({k: F.coalesce(v, F.lit("")) for k, v in named.items()})
+        rows.filter("embedding is not null").select("chunk_ord", "embedding", *FIELDS).foreachPartition(write)
 
     def count(self) -> int:
         return self.call("POST", "/points/count", {"exact": True})["result"]["count"]
 
+    def exists(self) -> bool:
+        try:
+            self.call("GET", "")
+            return True
+        except OSError:
+            return False
+
+    def documents(self, page: int = 10_000) -> Iterator[str]:
+        """The ids of the documents of all points, page by page; a document comes once for each of its points."""
+        offset = None
+        while True:
+            ask = {"limit": page, "with_payload": ["doc_id"], "with_vector": False} | ({} if offset is None else {"offset": offset})
+            found = self.call("POST", "/points/scroll", ask)["result"]
+            for p in found["points"]:
+                yield p["payload"]["doc_id"]
+            offset = found.get("next_page_offset")
+            if offset is None:
+                return
+
     def contains(self, doc_id: str) -> bool:
         """Whether a document has a point; False if the server can't say."""
         try:
@@ -74,7 +95,7 @@ class VectorServer:
             return False
 
     def candidates(self, spark: SparkSession, queries: DataFrame, pool: int) -> DataFrame:
-        """query_id, chunk_ord, doc_id, text, score of each query's nearest points, asked for where the queries lie."""
+        """query_id, chunk_ord, doc_id, text, section, title, url, score of each query's nearest points, asked for where the queries lie."""
         server = self
         kind = queries.schema["query_id"].dataType.simpleString()
 
@@ -87,8 +108,10 @@ class VectorServer:
                     if vector is None:
                         continue
                     found = server.call("POST", "/points/search", {"vector": [float(x) for x in vector], "limit": pool, "with_payload": True})
-                    out += [(q, p["id"], p["payload"]["doc_id"], p["payload"]["text"], float(p["score"])) for p in found["result"]]
-                yield pd.DataFrame(out, columns=["query_id", "chunk_ord", "doc_id", "text", "score"])
+                    for p in found["result"]:
+                        said = p["payload"]
+                        out.append((q, p["id"], said["doc_id"], said["text"], said.get("section") or "", said.get("title") or "", said.get("url") or "", float(p["score"])))
+                yield pd.DataFrame(out, columns=["query_id", "chunk_ord", "doc_id", "text", "section", "title", "url", "score"])
 
         rows = queries.select("query_id", "vector").filter(F.col("vector").isNotNull())
-        return rows.mapInPandas(ask, f"query_id {kind}, chunk_ord bigint, doc_id string, text string, score double")
+        return rows.mapInPandas(ask, f"query_id {kind}, chunk_ord bigint, doc_id string, text string, section string, title string, url string, score double")

@@ -13,7 +13,9 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "title string, html string, ok boolean, error string"
@@ -86,5 +88,61 @@ class _Reader(DataSourceReader):
                 yield title, None, False, str(e)[:500]
 
 
+def search_wikis(questions: DataFrame, wikis: dict[str, str], limit: int, delay_s: float = 0.5, retries: int = 3) -> DataFrame:
+    """query_id, query, wiki, titles: what each wiki's search gives for each question (query_id, query), asked for where the
+    questions lie. A wiki that doesn't answer gives no row."""
+    kind = questions.schema["query_id"].dataType.simpleString()
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for q, text in zip(frame["query_id"], frame["query"], strict=True):
+                for wiki, base in wikis.items():
+                    try:
+                        out.append((q, text, wiki, found_titles(with_retries(lambda b=base, t=text: _get(search_url(b, t, limit)), retries))))
+                    except Exception:  # noqa: BLE001, S112
+                        continue
+                    time.sleep(delay_s)
+            yield pd.DataFrame(out, columns=["query_id", "query", "wiki", "titles"])
+
+    rows = questions.select("query_id", "query").filter("query is not null")
+    return rows.mapInPandas(ask, f"query_id {kind}, query string, wiki string, titles array<string>")
+
+
+def fetch_pages(wanted: DataFrame, wikis: dict[str, str], delay_s: float = 0.5, retries: int = 3) -> DataFrame:
+    """asked, wiki, title (after redirects), url, html, ok, error of each page (wiki, title); a page that can't be had is a row."""
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for wiki, title in zip(frame["wiki"], frame["title"], strict=True):
+                base = wikis.get(wiki, "").rstrip("/")
+                url = f"{base}/wiki/{title.replace(' ', '_')}"
+                try:
+                    if not base:
+                        raise ValueError(f"no wiki is called {wiki}")
+                    out.append((title, wiki, *parsed_page(with_retries(lambda b=base, t=title: _get(parse_url(b, t)), retries)), url, True, ""))
+                except Exception as e:  # noqa: BLE001
+                    out.append((title, wiki, title, None, url, False, str(e)[:500]))
+                time.sleep(delay_s)
+            yield pd.DataFrame(out, columns=["asked", "wiki", "title", "html", "url", "ok", "error"])
+
+    return wanted.select("wiki", "title").mapInPandas(ask, "asked string, wiki string, title string, html string, url string, ok boolean, error string")
+
+
+def page_list(spark: SparkSession, file: str = "") -> DataFrame:
+    """wiki, title of the pages to take by default: of a CSV file with these columns, else a few well-known ones."""
+    if file:
+        return spark.read.csv(file, header=True, schema="wiki string, title string").filter(F.col("title").isNotNull())
+    return spark.createDataFrame([(wiki, title) for wiki, titles in PAGES.items() for title in titles], "wiki string, title string")
+
+
+#: Pages that are taken when none are named.
+PAGES = {
+    "marvel": ("Peter Parker (Earth-616)", "Anthony Stark (Earth-616)", "Steven Rogers (Earth-616)", "Thor Odinson (Earth-616)", "Ororo Munroe (Earth-616)"),
+    "dc": ("Superman (Clark Kent)", "Batman (Bruce Wayne)", "Diana of Themyscira (New Earth)", "Barry Allen (New Earth)", "Arthur Curry (New Earth)"),
+}
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(WikiPages)

@@ -64,7 +64,23 @@ def test_fallback_takes_a_page_in(spark, engine):
     asked = spark.createDataFrame([("1", "Where is the green knight?")], "query_id string, question string")
     row = engine.ask(asked, pages=pages).first()
     assert row["fallback_used"] and row["sources"][0]["doc"] == "w__green_knight.md"
-    assert engine.fetch(asked, pages) == 0
+    assert row["fallback_doc"] == "w__green_knight.md"
+    again = engine.fetch(asked, pages).first()
+    assert not again["ok"] and again["skipped_existing"] and again["chunks_added"] == 0
+    short = engine.fetch(spark.createDataFrame([("2", "short knight short")], "query_id string, question string"), pages.filter("title = 'Short Knight'")).first()
+    assert not short["ok"] and "too short" in short["error"]
+
+
+def test_only_questions_whose_page_was_added_used_the_fallback(spark, engine):
+    engine.settings = Settings(**{**engine.settings.__dict__, "fallback_score": 2.0})
+    page = lambda x: "<p>" + f"The {x} guards the bridge. " * 30 + "</p>"
+    pages = spark.createDataFrame([("w", "Green Knight", "http://g", page("green knight")), ("w", "Short Squire", "http://s", "<p>x</p>")], "wiki string, title string, url string, html string")
+    asked = spark.createDataFrame([("1", "Where is the green knight?"), ("2", "Where is the short squire?"), ("3", "zzz")], "query_id string, question string")
+    got = {r["query_id"]: (r["fallback_used"], r["fallback_doc"]) for r in engine.ask(asked, pages=pages).collect()}
+    assert got == {"1": (True, "w__green_knight.md"), "2": (False, ""), "3": (False, "")}
+    docs = {r["doc_id"]: r for r in load_corpus(spark, engine.settings.corpus_dir).collect()}
+    assert docs["w__green_knight.md"]["meta"]["source"] == "http://g" and len(docs) == 3
+    assert {r["slug"]: r["ok"] for r in spark.read.parquet(engine.settings.corpus_dir + "/manifest").collect()} == {"green_knight": True, "short_squire": False}
 
 
 def test_evaluation(spark, engine, tmp_path):
@@ -80,6 +96,14 @@ def test_evaluation(spark, engine, tmp_path):
     assert overall["hit_rate"] == 1.0 and overall["n"] == 2 and overall["faithfulness"] == 3.0
     assert {r["query_id"]: r["token_f1"] is None for r in results.collect()} == {"q1": False, "q2": True}
     assert "token_f1" not in engine.evaluate(questions, retrieval_only=True)[0].columns
+    rows = {r["query_id"]: r for r in results.collect()}
+    assert rows["q1"]["retrieved_docs"][0] == "b.txt" and rows["q1"]["total_seconds"] > rows["q1"]["retrieval_seconds"] > 0
+    assert "(from:" not in rows["q1"]["context"]  # judges read the plain texts
+    engine.write_report(report, results, str(tmp_path / "report"))
+    summary = json.loads(next((tmp_path / "report" / "summary").glob("part-*.json")).read_text())
+    assert summary["overall"]["hit_rate"] == 1.0 and summary["by_category"]["f"]["n"] == 1 and summary["config"]["top_k"] == 5 and summary["run_at"]
+    told = [json.loads(line) for x in (tmp_path / "report" / "questions").glob("part-*.json") for line in x.read_text().splitlines()]
+    assert {q["id"]: q["scores"]["hit_rate"] for q in told} == {"q1": 1.0, "q2": None}
 
 
 def test_manifest_files(spark, tmp_path):
@@ -101,6 +125,23 @@ def test_providers():
     assert providers.HttpProvider("http://localhost:1", "e", "c", attempts=1).describe().startswith("v1")
 
 
+def test_models_and_judge():
+    one = providers.HttpProvider("http://localhost:1", "e", "c", attempts=1)
+    assert providers.judge_of(one, Settings(chat_model="c", judge_model="j")).chat_model == "j"
+    assert providers.judge_of(one, Settings(chat_model="c")).chat_model == "c"
+    with pytest.raises(providers.ProviderError):
+        providers.check_ready(providers.HashProvider(8), ["other"])
+    assert providers.check_ready(providers.HashProvider(8), ["hash-8"]) == []
+    kept = providers._Remembered(providers.HashProvider(8), 2)
+    assert kept.embed(["a", "b", "a", "c"]) == providers.HashProvider(8).embed(["a", "b", "a", "c"])
+    assert list(providers._vectors[repr(providers.HashProvider(8))]) == ["b", "c"]
+
+
+def test_stores(spark):
+    with pytest.raises(IndexError_):
+        Engine(spark, Settings(store="other"))
+
+
 def test_settings():
     got = Settings.from_env({"SKERRY_TOP_K": "7", "SKERRY_ALPHA": "", "SKERRY_HYBRID": "no", "SKERRY_CHAT_MODEL": "m"})
     assert (got.top_k, got.alpha, got.hybrid, got.effective_judge) == (7, 0.7, False, "m")
