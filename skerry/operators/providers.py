@@ -7,14 +7,15 @@ data is; retries are bounded and a failure is a null answer where one question f
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import time
 import urllib.error
 import urllib.request
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -40,6 +41,12 @@ class Provider(Protocol):
     def describe(self) -> str: ...
 
 
+@lru_cache(maxsize=1 << 18)
+def _word_hash(word: str) -> int:
+    """28 bits of the word's MD5, as SQL can compute them too."""
+    return int(hashlib.md5(word.encode(), usedforsecurity=False).hexdigest()[:7], 16)
+
+
 @dataclass(frozen=True)
 class HashProvider:
     """Vectors of signed hashed words, and answers that quote the first passage."""
@@ -50,8 +57,8 @@ class HashProvider:
         out = np.zeros((len(texts), self.dim))
         for i, text in enumerate(texts):
             for word in re.findall(r"[a-z0-9]+", text.lower()):
-                h = zlib.crc32(word.encode())
-                out[i, h % self.dim] += 1.0 if h & 0x10000 else -1.0
+                h = _word_hash(word)
+                out[i, h % self.dim] += 1.0 if h >> 27 else -1.0
         return out.tolist()
 
     def generate(self, prompt: str, system: str = "") -> str:

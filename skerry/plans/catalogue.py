@@ -6,17 +6,19 @@ first chunk of its first relevant document, so that no model is needed to compar
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skerry.functions import text as X
 from skerry.functions.vectors import norm, unit
-from skerry.operators import chunk, context, evaluate, fallback, html, lexical, manifest, providers, search
-from skerry.session import cut, table
-from skerry.sources.index import kept_index
-from skerry.streaming.append import latency_stream
+from skerry.operators import chunk, context, evaluate, fallback, html, lexical, manifest, providers, scrape, search
+from skerry.session import checkpoint_folder, cut, table
+from skerry.sources import corpus
+from skerry.sources.index import ChunkIndex, kept_index, with_ordinals
+from skerry.streaming.append import follow_latencies
 
 
 def _queries(spark: SparkSession, folder: str) -> DataFrame:
@@ -201,8 +203,9 @@ def contains_semi(spark, folder):
 
 def new_docs_anti(spark, folder):
     pages = table(spark, folder, "manifest_pages").select(F.concat("wiki", F.lit("__"), "slug", F.lit(".md")).alias("doc_id")).distinct()
-    old = table(spark, folder, "chunks").filter("section is not null and section <> ''")
-    return fallback.not_indexed(pages, old)
+    asked = table(spark, folder, "eval_questions").select(F.explode("relevant_docs").alias("doc_id")).distinct()
+    more = table(spark, folder, "documents").select(F.concat(F.lit("documents__"), F.col("doc_id").cast("string"), F.lit(".md")).alias("doc_id"))
+    return fallback.not_indexed(pages.union(asked).union(more).distinct(), table(spark, folder, "chunks"))
 
 
 def qrels(spark, folder):
@@ -270,14 +273,103 @@ def embed_hash(spark, folder):
 
 
 def stream_latency(spark, folder):
-    """Events as a stream, taken to its end: windows of five minutes by type."""
+    """Events as a stream, taken to its end: closed windows of five minutes by type."""
     source = table(spark, folder, "events")
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/events.parquet*")
-    grouped = latency_stream(stream.withColumn("ts", F.col("ts").cast("timestamp")))
-    name = f"stream_latency_{abs(hash(folder))}"
-    query = grouped.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select("event_type", F.unix_timestamp("window_start").alias("window_start"), "n", F.round("total", 4).alias("total"))
+    out = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    follow_latencies(stream.withColumn("ts", F.col("ts").cast("timestamp")), f"{out}/windows", f"{out}/progress").awaitTermination()
+    return spark.read.parquet(f"{out}/windows").select("event_type", F.unix_timestamp("window_start").alias("window_start"), "n", F.round("total", 4).alias("total"))
+
+
+def corpus_round_trip(spark, folder):
+    """Documents as corpus pages, written and loaded again."""
+    blank = F.lit("")
+    docs = table(spark, folder, "documents").select(
+        F.lit("w").alias("wiki"), F.concat(F.coalesce("title", blank), F.lit(" "), F.col("doc_id").cast("string")).alias("title"), F.lit("U").alias("universe"),
+        F.coalesce("source", blank).alias("source"), F.lit("2025-01-01").alias("scraped"), F.coalesce("text", blank).alias("body"),
+    )
+    where = f"{checkpoint_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    corpus.write_corpus(corpus.corpus_page(docs), where)
+    rows = corpus.load_corpus(spark, where)
+    return rows.select("doc_id", "title", F.size("meta").cast("bigint").alias("n_fields"), F.md5("body").alias("body_md5"))
+
+
+def resolve_title(spark, folder):
+    """The title of a page: its field, else its first heading, else its name."""
+    blank = F.lit("")
+    field = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("---\ntitle: "), F.coalesce("title", blank), F.lit("\n---\n"))).otherwise(blank)
+    head = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# "), F.coalesce("source", blank), F.lit("\n"))).otherwise(blank)
+    meta, body = X.front_matter(F.concat(field, head, F.lit("x")))
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return table(spark, folder, "documents").select("doc_id", X.resolved_title(meta, body, name).alias("title"))
+
+
+def _nth(values: tuple[str, ...], n: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int") + 1)
+
+
+def drop_sections(spark, folder):
+    """Pages with one section that no one reads, of each kind, between two that stay."""
+    name = F.initcap(_nth(html.DROPPED_SECTIONS, F.col("doc_id")))
+    page = F.concat(F.lit("<h2>One</h2><p>a</p><h3>"), name, F.lit("[edit]</h3><p>gone</p><li>gone</li><h2>Not "), name, F.lit("</h2><p>b</p>"))
+    rows = html.html_to_markdown(table(spark, folder, "documents", wide=True).select("doc_id", page.alias("html")), "doc_id")
+    return rows.select("doc_id", "markdown")
+
+
+_OTHER_KEYS = ("Colour", "Nick Name", "Old Aliases", "Team", "Known Affiliations", "Weapon")
+
+
+def infobox_keys(spark, folder):
+    """Facts of every kind that is kept, and of some that aren't, twice each."""
+    key = F.upper(_nth((*html.FACT_KEYS, *_OTHER_KEYS), F.col("doc_id")))
+    row = F.concat(F.lit("<tr><th>"), key, F.lit(":</th><td>v"), F.col("doc_id").cast("string"), F.lit("</td></tr>"))
+    page = F.concat(F.lit("<table class='infobox'>"), row, row, F.lit("<tr><th>Empty</th><td> , </td></tr></table>"))
+    rows = html.html_to_markdown(table(spark, folder, "documents", wide=True).select("doc_id", page.alias("html")), "doc_id")
+    return rows.select("doc_id", F.explode("facts").alias("f")).select("doc_id", "f.key", "f.value")
+
+
+def pages_to_documents(spark, folder):
+    """Manifest rows of fetched pages, some of them failed or too short."""
+    asked = table(spark, folder, "documents").select("doc_id", F.concat(F.lit("Page "), F.col("doc_id").cast("string")).alias("title"))
+    pages = _pages(spark, folder).join(asked, "doc_id").select(F.lit("w").alias("wiki"), "title", F.lit("u").alias("url"), "html", (F.col("doc_id") % 5 != 0).alias("ok"), F.lit("gone").alias("error"))
+    return scrape.documents_of(pages, "2025-01-01")[1].select("slug", "ok", "chars", "error")
+
+
+def page_jobs(spark, folder):
+    """The pages of one wiki, and some more, each once."""
+    pages = table(spark, folder, "manifest_pages")
+    return scrape.page_jobs(pages, "marvel", table(spark, folder, "documents").select(F.col("source").alias("wiki"), "title"))
+
+
+def chosen_questions(spark, folder):
+    """The first seven questions of a category, in order."""
+    asked = table(spark, folder, "eval_questions").withColumn("pos", F.col("id"))
+    return corpus.chosen_questions(asked, "factual", 7).select("id", "question")
+
+
+def hybrid_alpha_0(spark, folder):
+    return _hits(spark, folder, alpha=0.0)
+
+
+def hybrid_alpha_1(spark, folder):
+    return _hits(spark, folder, alpha=1.0)
+
+
+def judge_context(spark, folder):
+    """What judges read: the whole texts of a question's hits."""
+    rows = context.whole_context(_hits_with_chunks(spark, folder))
+    return rows.select("query_id", F.length("context").cast("bigint").alias("n_chars"), F.md5("context").alias("context_md5"))
+
+
+def append_equals_rebuild(spark, folder):
+    """An index of half of the documents to which all are appended, twice: each document's chunks and the range of ordinals."""
+    chunks = table(spark, folder, "chunks")
+    index = ChunkIndex(spark, f"{checkpoint_folder(spark)}/index-{uuid.uuid4().hex}")
+    index.create(with_ordinals(chunks.filter(F.xxhash64("doc_id") % 2 == 0).drop("chunk_ord")))
+    index.append(chunks)
+    index.append(chunks)
+    rows = index.open().select("doc_id", "chunk_id", "text", "chunk_ord")
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.countDistinct("chunk_ord").alias("n_ordinals"), F.min(F.md5(F.coalesce("text", F.lit("")))).alias("least_md5"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -288,6 +380,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         chunk_counts, front_matter_parse, slugify, doc_ids, query_normalise, html_markdown, infobox_facts, min_length_filter,
         manifest_latest, manifest_upsert, manifest_summary, contains_semi, new_docs_anti, qrels, retrieval_metrics, metrics_by_category,
         token_f1, abstention, judge_parse, latency_report, build_context, hit_sources, needs_fallback, pick_best_hit, embed_hash, stream_latency,
+        corpus_round_trip, resolve_title, drop_sections, infobox_keys, pages_to_documents, page_jobs, chosen_questions, hybrid_alpha_0, hybrid_alpha_1,
+        judge_context, append_equals_rebuild,
     )
 }
 
@@ -361,6 +455,8 @@ fused as (
   from both_ b join mm on mm.query_id = b.query_id), {_final(pool, cap)}"""
 
 
+_DENSE_ONLY = f"""with {_QUERIES}, {_DENSE}, fused as (select query_id, chunk_ord, doc_id, round(d, 6) as score from dense), {_final(20, 2)}"""
+
 _EMBEDDED = f"""with cu as (select vec_id as chunk_ord, label as doc_id, {_unit("embedding")} as u from embeddings),
 fused as (
   select a.chunk_ord as query_id, b.chunk_ord, b.doc_id, round(list_dot_product(a.u, b.u), 6) as score
@@ -506,8 +602,9 @@ select doc_id, 'Real Name' as key, v as value from l where v <> ''""",
     "manifest_summary": f"""select wiki, count(*) filter (where ok) as n_ok, count(*) filter (where not coalesce(ok, false)) as n_failed,
   cast(coalesce(sum(chars), 0) as bigint) as n_chars from ({_LATEST.format(source="manifest_pages", first="")}) group by 1""",
     "contains_semi": "select distinct doc_id from (select unnest(relevant_docs) as doc_id from eval_questions) where doc_id in (select doc_id from chunks)",
-    "new_docs_anti": """select distinct wiki || '__' || slug || '.md' as doc_id from manifest_pages
-where wiki || '__' || slug || '.md' not in (select doc_id from chunks where section is not null and section <> '' and doc_id is not null)""",
+    "new_docs_anti": """select doc_id from (
+  select wiki || '__' || slug || '.md' as doc_id from manifest_pages union select unnest(relevant_docs) from eval_questions union select 'documents__' || doc_id || '.md' from documents)
+where doc_id is null or doc_id not in (select doc_id from chunks where doc_id is not null)""",
     "qrels": _QRELS,
     "retrieval_metrics": f"{_MEASURED} select query_id, round(hit_rate, 6) as hit_rate, round(precision, 6) as precision, round(recall, 6) as recall, round(mrr, 6) as mrr, round(ndcg, 6) as ndcg from measured",
     "metrics_by_category": f"""{_MEASURED}
@@ -544,5 +641,39 @@ words as (select *, list_filter(list_distinct(regexp_split_to_array(lower(query)
 scored as (select query_id, wiki, title, score, case when len(a) > 0 then len(list_intersect(a, t)) / cast(len(a) as double) else 0 end as match from words)
 select query_id, wiki, title, score, round(match, 6) as match from scored
 qualify row_number() over (partition by query_id order by score desc, match desc, wiki, title) = 1""",
-    "stream_latency": """select event_type, cast(floor(epoch(ts) / 300) * 300 as bigint) as window_start, count(*) as n, round(sum(value), 4) as total from events group by 1, 2""",
+    "stream_latency": """select event_type, cast(floor(epoch(ts) / 300) * 300 as bigint) as window_start, count(*) as n, round(sum(value), 4) as total from events
+group by 1, 2 having floor(epoch(any_value(ts)) / 300) * 300 + 300 <= (select max(epoch(ts)) - 600 from events)""",
+    "corpus_round_trip": rf"""with t as (select *, coalesce(title, '') || ' ' || doc_id as t from documents)
+select 'w__' || trim(regexp_replace(lower(t), '[^a-z0-9]+', '_', 'g'), '_') || '.md' as doc_id, {_strip("t")} as title, 4 as n_fields,
+  md5('# ' || t || chr(10) || chr(10) || {_unix("coalesce(text, '')")} || chr(10)) as body_md5 from t""",
+    "resolve_title": rf"""select doc_id, coalesce(case when doc_id % 3 = 0 then nullif({_strip("coalesce(title, '')")}, '') end,
+  case when doc_id % 2 = 0 then nullif({_strip("coalesce(source, '')")}, '') end, 'd' || doc_id) as title from documents""",
+    "drop_sections": """select doc_id, '## One' || chr(10) || chr(10) || 'a' || chr(10) || chr(10) || '## Not ' ||
+  array_to_string(list_transform(string_split(([{names}])[doc_id % {n} + 1], ' '), lambda w: upper(w[1]) || w[2:]), ' ') || chr(10) || chr(10) || 'b' as markdown from documents""".format(
+        names=", ".join(f"'{x}'" for x in html.DROPPED_SECTIONS), n=len(html.DROPPED_SECTIONS)
+    ),
+    "infobox_keys": """with k as (select doc_id, ([{keys}])[doc_id % {n} + 1] as key from documents)
+select doc_id, upper(key) as key, 'v' || doc_id as value from k where lower(key) in ({known}) or regexp_matches(lower(key), 'alias|name|affiliation')""".format(
+        keys=", ".join(f"'{x}'" for x in (*html.FACT_KEYS, *_OTHER_KEYS)), n=len(html.FACT_KEYS) + len(_OTHER_KEYS), known=", ".join(f"'{x}'" for x in html.FACT_KEYS)
+    ),
+    "page_jobs": r"""select distinct wiki, title, trim(regexp_replace(lower(title), '[^a-z0-9]+', '_', 'g'), '_') as slug from (
+  select wiki, title from manifest_pages where wiki = 'marvel' union all select source, title from documents) where wiki is not null and trim(title) <> ''""",
+    "chosen_questions": "select id, question from eval_questions where category = 'factual' order by id limit 7",
+    "hybrid_alpha_0": f"{_DENSE_ONLY} select * from hits",
+    "hybrid_alpha_1": f"{_DENSE_ONLY} select * from hits",
+    "judge_context": f"""{_hybrid(20, 2)}, t as (
+  select h.query_id, string_agg(coalesce(c.text, ''), chr(10) || chr(10) order by h.rank) as context from hits h join chunks c on c.chunk_ord = h.chunk_ord group by 1)
+select query_id, length(context) as n_chars, md5(context) as context_md5 from t""",
+    "append_equals_rebuild": "select doc_id, count(*) as n, count(*) as n_ordinals, min(md5(coalesce(text, ''))) as least_md5 from chunks group by 1",
+    "embed_hash": r"""with w as (select chunk_ord, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from chunks),
+h as (select chunk_ord, cast('0x' || left(md5(word), 7) as bigint) as h from w),
+d as (select chunk_ord, h % 16 as i, sum(case when h >= 134217728 then 1 else -1 end) as v from h group by 1, 2),
+m as (select chunk_ord, map_from_entries(list({'k': i, 'v': v})) as m from d group by 1)
+select c.chunk_ord, case when c.text is not null then list_transform(range(0, 16), lambda i: cast(coalesce(m.m[i], 0) as float)) end as embedding
+from chunks c left join m on m.chunk_ord = c.chunk_ord""",
 }
+
+_MARKDOWN = ORACLES["html_markdown"].rpartition("select doc_id, length")[0]
+ORACLES["pages_to_documents"] = f"""{_MARKDOWN}
+select 'page_' || doc_id as slug, doc_id % 5 <> 0 and length(markdown) >= 500 as ok, case when doc_id % 5 <> 0 and length(markdown) >= 500 then length(markdown) else 0 end as chars,
+  case when doc_id % 5 = 0 then 'gone' when length(markdown) >= 500 then '' else 'page too short (' || length(markdown) || ' characters)' end as error from m"""

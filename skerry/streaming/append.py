@@ -32,6 +32,16 @@ def append_documents(spark: SparkSession, arriving: str, schema: str, index: Chu
 
 
 def latency_stream(events: DataFrame, late: str = "10 minutes", window: str = "5 minutes") -> DataFrame:
-    """event_type, window_start, n, total of a stream of events; rows later than ``late`` are left to a batch rerun."""
+    """event_type, window_start, n, total of a stream of events.
+
+    To be written in append mode: a window comes out once, when the watermark has passed its end, and its state is then
+    dropped; rows that arrive for it later than ``late`` are left to a batch rerun.
+    """
     grouped = events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type")
     return grouped.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("event_type", F.col("window.start").alias("window_start"), "n", "total")
+
+
+def follow_latencies(events: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Write the closed windows of ``latency_stream`` to Parquet files; ``once`` takes what is there and ends."""
+    writer = latency_stream(events).writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
