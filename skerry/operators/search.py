@@ -12,6 +12,7 @@ bounds what is broadcast; chunks are never collected.
 
 from __future__ import annotations
 
+import copy
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -173,6 +174,17 @@ class _Queries:
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5)) * (K1 + 1) * (df > 0)
         self.weight = self.times * np.repeat(idf, np.diff(self.starts))
 
+    def fused(self, limits: np.ndarray, alpha: float) -> tuple[_Queries, np.ndarray]:
+        """Queries whose dense and lexical scores add up, with the number given for each query, to the fused ones."""
+        shares = []
+        for share, low, high in ((alpha, limits[0], limits[2]), (1 - alpha, limits[1], limits[3])):
+            flat = high - low < 1e-12
+            shares.append(np.where(flat, 0.0, share / np.where(flat, 1.0, high - low)))
+        out = copy.copy(self)
+        out.by_dim = {dim: (mine, matrix * shares[0][mine, None]) for dim, (mine, matrix) in self.by_dim.items()}
+        out.weight = self.weight * shares[1][self.who]
+        return out, -(shares[0] * limits[0] + shares[1] * limits[1])
+
     def dense(self, dims: np.ndarray, flat: np.ndarray) -> np.ndarray:
         """Cosines; 0 where a vector is missing or of another dimension than the query's."""
         out = np.zeros((len(self.ids), len(dims)))
@@ -188,10 +200,7 @@ class _Queries:
 
     def lexical(self, dl: np.ndarray, terms: np.ndarray, starts: np.ndarray, at: np.ndarray, tf: np.ndarray) -> np.ndarray:
         q, c = len(self.ids), len(dl)
-        out = np.zeros((q, c))
         mine, there = _found(self.terms, terms)
-        if not len(mine):
-            return out
         chunks, asked = (starts[there + 1] - starts[there]).astype(np.int64), self.starts[mine + 1] - self.starts[mine]
 
         def postings(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,12 +212,11 @@ class _Queries:
 
         often = chunks * asked >= COMMON
         common, rare = np.flatnonzero(often), np.flatnonzero(~often)
-        if len(rare):
-            term, chunk, part = postings(rare)
-            n = asked[rare][term]
-            query = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[mine[rare]][term], n)
-            cell = self.who[query] * c + np.repeat(chunk, n)
-            out += np.bincount(cell, np.repeat(part, n) * self.weight[query], q * c).reshape(q, c)
+        term, chunk, part = postings(rare)
+        n = asked[rare][term]
+        query = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.starts[mine[rare]][term], n)
+        cell = self.who[query] * c + np.repeat(chunk, n)
+        out = np.bincount(cell, np.repeat(part, n) * self.weight[query], q * c).reshape(q, c)
         if len(common):
             term, chunk, part = postings(common)
             right = np.zeros((len(common), c))
@@ -221,10 +229,9 @@ class _Queries:
         return out
 
 
-def _scaled(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    span = high - low
-    flat = span < 1e-12
-    return (x - low[:, None]) * np.where(flat, 0.0, 1 / np.where(flat, 1.0, span))[:, None]
+def _scaled(x: np.ndarray) -> np.ndarray:
+    span = x.max() - x.min()
+    return (x - x.min()) / span if span >= 1e-12 else np.zeros_like(x)
 
 
 class _Best:
@@ -235,17 +242,20 @@ class _Best:
         self.score, self.key, self.doc = np.full((n, pool), -np.inf), np.zeros((n, pool), np.int64), np.zeros((n, pool), object)
 
     def add(self, score: np.ndarray, keys: np.ndarray, docs: list) -> None:
+        """Take the scores of some chunks in; only those that can stay are rounded, to six digits, and put in order."""
         bar = self.score[:, -1]
-        if score.shape[1] > self.pool:
-            bar = np.maximum(bar, np.partition(score, -self.pool, axis=1)[:, -self.pool]) if not np.isfinite(bar).all() else bar
-        row, at = np.nonzero((score >= bar[:, None]) & (score > -np.inf))
-        if not len(row):
+        if score.shape[1] > self.pool and not np.isfinite(bar).all():
+            bar = np.maximum(bar, np.partition(score, -self.pool, axis=1)[:, -self.pool])
+        cell = np.flatnonzero(score >= np.maximum(bar - 1e-6, -1e300)[:, None])
+        if not len(cell):
             return
+        row, at = np.divmod(cell, score.shape[1])
+        score = np.round(score.ravel()[cell], 6)
         touched = np.unique(row)
         old, place = np.nonzero(np.isfinite(self.score[touched]))
         old = touched[old]
         row_all = np.concatenate([old, row])
-        s = np.concatenate([self.score[old, place], score[row, at]])
+        s = np.concatenate([self.score[old, place], score])
         k = np.concatenate([self.key[old, place], keys[at]])
         d = np.concatenate([self.doc[old, place], np.array(docs, object)[at]])
         order = np.lexsort((k, -s, row_all))
@@ -285,8 +295,7 @@ def _search_block(part: DataFrame, index: SearchIndex, pool: int, alpha: float,
     columns = ["keys", "docs", *(["dims", "vectors"] if vectors else []), *(["dl", "terms", "starts", "at", "tf"] if words else [])]
     source = index.blocks.select(*columns)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        q = shared.value
+    def scored(batches: Iterator[pa.RecordBatch], q: _Queries) -> Iterator[tuple]:
         for batch in batches:
             for i in range(batch.num_rows):
                 block = {c: batch.column(j)[i].values for j, c in enumerate(columns)}
@@ -298,7 +307,7 @@ def _search_block(part: DataFrame, index: SearchIndex, pool: int, alpha: float,
     def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         low = np.full((2, len(shared.value.ids)), np.inf)
         high = -low
-        for _, _, *both in scored(batches):
+        for _, _, *both in scored(batches, shared.value):
             for i, x in enumerate(both):
                 low[i], high[i] = np.minimum(low[i], x.min(axis=1)), np.maximum(high[i], x.max(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(range(low.shape[1]), pa.int32()), *(pa.array(x) for x in (*low, *high))], names=["q", "l0", "l1", "h0", "h1"])
@@ -313,16 +322,21 @@ def _search_block(part: DataFrame, index: SearchIndex, pool: int, alpha: float,
     id_type, doc_type = to_arrow_type(id_kind), to_arrow_type(doc_kind)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = shared.value.ids
+        q = shared.value
+        ids = q.ids
         top = _Best(len(ids), pool)
-        for keys, docs, dense, lexical in scored(batches):
+        if mode == "fused":
+            q, rest = q.fused(limits, alpha)
+        for keys, docs, dense, lexical in scored(batches, q):
             if mode == "lexical":
                 score = np.where(lexical > 0, lexical, -np.inf)
             elif mode == "fused":
-                score = alpha * _scaled(dense, limits[0], limits[2]) + (1 - alpha) * _scaled(lexical, limits[1], limits[3])
+                score = dense
+                score += lexical
+                score += rest[:, None]
             else:
                 score = dense
-            top.add(np.round(score, 6), keys, docs.to_pylist())
+            top.add(score, keys, docs.to_pylist())
         who, at = np.nonzero(np.isfinite(top.score))
         if len(who):
             columns = [pa.array([ids[i] for i in who], id_type), pa.array(top.key[who, at]), pa.array(top.doc[who, at].tolist(), doc_type), pa.array(top.score[who, at])]
@@ -380,7 +394,7 @@ def rerank(candidates: DataFrame, queries: DataFrame, k: int = 5, alpha: float =
                     df = (tf > 0).sum()
                     lexical += times * np.log(1 + (len(found) - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
                 both = [np.array([c["score"] for c in found]), lexical]
-                dense, lexical = (_scaled(x[None], x.min(keepdims=True), x.max(keepdims=True))[0] for x in both)
+                dense, lexical = (_scaled(x) for x in both)
                 score = np.round(alpha * dense + (1 - alpha) * lexical, 6)
                 ids = batch.column(0).take(pa.array([i] * len(found)))
                 yield pa.RecordBatch.from_arrays([ids, pa.array([c["chunk_ord"] for c in found]), pa.array([c["doc_id"] for c in found], doc_type), pa.array(score)], names=["query_id", "chunk_ord", "doc_id", "score"])
