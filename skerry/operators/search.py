@@ -22,8 +22,9 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from skerry.operators.lexical import K1, B
@@ -74,25 +75,25 @@ class SearchIndex:
     with_words: bool = True
 
     def statistics(self, terms: np.ndarray) -> tuple[np.ndarray, int, float]:
-        """(document frequency of each of some terms, number of chunks, mean length)."""
-        n, total = self.blocks.agg(F.sum(F.size("keys")), F.sum(F.aggregate("dl", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()
-        shared = self.blocks.sparkSession.sparkContext.broadcast(np.sort(terms))
+        """(document frequency of each of some sorted terms, number of chunks, mean length), in one pass."""
+        shared = self.blocks.sparkSession.sparkContext.broadcast(terms)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             wanted = shared.value
-            df = np.zeros(len(wanted), np.int64)
+            out = np.zeros(len(wanted) + 2, np.int64)  # the last two are chunks and their lengths
             for batch in batches:
                 for i in range(batch.num_rows):
-                    block = {c: batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j, c in enumerate(("terms", "starts"))}
-                    at, there = _found(wanted, block["terms"])
-                    df[at] += np.diff(block["starts"])[there]
-            some = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], names=["i", "df"])
+                    there, starts, dl = (batch.column(j)[i].values.to_numpy(zero_copy_only=False) for j in range(3))
+                    at, mine = _found(wanted, there)
+                    out[at] += np.diff(starts)[mine]
+                    out[-2:] += len(dl), dl.sum(dtype=np.int64)
+            some = np.flatnonzero(out)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(out[some])], names=["i", "n"])
 
-        got = self.blocks.select("terms", "starts").mapInArrow(count, "i bigint, df bigint").groupBy("i").agg(F.sum("df").alias("df")).toArrow()
-        df = np.zeros(len(terms), np.int64)
-        df[got.column(0).to_numpy()] = got.column(1).to_numpy()
-        return df[np.argsort(np.argsort(terms))], int(n or 0), (total or 0) / n if n else 0.0
+        got = self.blocks.select("terms", "starts", "dl").mapInArrow(count, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(len(terms) + 2, np.int64)
+        out[got.column(0).to_numpy()] = got.column(1).to_numpy()
+        return out[:-2], int(out[-2]), float(out[-1] / out[-2]) if out[-2] else 0.0
 
 
 def _found(wanted: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -276,15 +277,19 @@ def search(queries: DataFrame, index: SearchIndex, k: int = 5, alpha: float = 0.
     """
     mode = "lexical" if lexical_only else "fused" if hybrid and 0 < alpha < 1 else "dense"
     rows = queries.select("query_id", "text", "vector").orderBy("query_id")
-    n = rows.count()
+    listed = rows.limit(block + 1).collect()
     got = []
-    for begin in range(0, max(n, 1), block):
-        got.append(_search_block(rows.offset(begin).limit(block) if n > block else rows, index, pool_size(k, per_doc), alpha, mode))
+    if len(listed) > block:  # more than one block: the rows are kept, so that each block's are the same
+        rows = cut(rows).orderBy("query_id")
+        for begin in range(0, rows.count(), block):
+            got.append(_search_block(rows.offset(begin).limit(block).collect(), rows.schema, index, pool_size(k, per_doc), alpha, mode))
+    else:
+        got.append(_search_block(listed, rows.schema, index, pool_size(k, per_doc), alpha, mode))
     return diverse(reduce(DataFrame.unionByName, got), k, per_doc)
 
 
-def _search_block(part: DataFrame, index: SearchIndex, pool: int, alpha: float, mode: str) -> DataFrame:
-    session, listed = part.sparkSession, part.collect()
+def _search_block(listed: list[Row], schema: T.StructType, index: SearchIndex, pool: int, alpha: float, mode: str) -> DataFrame:
+    session = index.blocks.sparkSession
     words, vectors = mode != "dense", mode != "lexical"
     queries = _Queries([r["query_id"] for r in listed], [r["vector"] if vectors else None for r in listed], [r["text"] if words else None for r in listed])
     if words:
@@ -318,7 +323,7 @@ def _search_block(part: DataFrame, index: SearchIndex, pool: int, alpha: float,
         found = found.groupBy("q").agg(F.min("l0"), F.min("l1"), F.max("h0"), F.max("h1")).orderBy("q").collect()
         limits = np.array([list(r)[1:] for r in found]).reshape(-1, 4).T
 
-    id_kind, doc_kind = part.schema["query_id"].dataType, index.blocks.schema["docs"].dataType.elementType
+    id_kind, doc_kind = schema["query_id"].dataType, index.blocks.schema["docs"].dataType.elementType
     id_type, doc_type = to_arrow_type(id_kind), to_arrow_type(doc_kind)
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
