@@ -33,6 +33,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -275,16 +276,20 @@ def sieved(rows: DataFrame, wanted: DataFrame, key: str, bits: int = SIEVE) -> D
     return rows.filter(kept(place))
 
 
-def candidate_pairs(sketched: DataFrame, alike: float) -> DataFrame:
+def candidate_pairs(sketched: DataFrame, alike: float, bands: int, parts: int = 6) -> DataFrame:
     """__a, __b: different classes that share a band number, each pair once.
 
-    Sets of which the smaller has less than ``alike`` of the greater are no pair.
+    Sets of which the smaller has less than ``alike`` of the greater are no pair. Bands are joined in ``parts``
+    joins, for a number is equal to one of its own band only: a task then has that part of what it would have in one join.
     """
-    numbers = sketched.select(F.explode("__bands").alias("__band"), "__class", "__n")
-    left = numbers.select("__band", F.col("__class").alias("__a"), F.col("__n").alias("__n_a"))
-    right = numbers.select("__band", F.col("__class").alias("__b"), F.col("__n").alias("__n_b"))
     near = F.least("__n_a", "__n_b") >= F.greatest("__n_a", "__n_b") * alike - 1e-6
-    return left.join(right, "__band").filter((F.col("__a") < F.col("__b")) & near).select("__a", "__b").distinct()
+    each, found = -(-bands // parts), []
+    for begin in range(0, bands, each):
+        numbers = sketched.select(F.explode(F.slice("__bands", begin + 1, each)).alias("__band"), "__class", "__n")
+        left = numbers.select("__band", F.col("__class").alias("__a"), F.col("__n").alias("__n_a"))
+        right = numbers.select("__band", F.col("__class").alias("__b"), F.col("__n").alias("__n_b"))
+        found.append(left.join(right, "__band").filter((F.col("__a") < F.col("__b")) & near).select("__a", "__b"))
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def similarities(pairs: DataFrame, shared, width: int) -> DataFrame:
@@ -329,7 +334,7 @@ def near_copies(
     members = first.filter("__class is not null").select("__key", "__class")
     shared = df.sparkSession.sparkContext.broadcast(weights_of(first, counters))
     sketched = sketches(rows, shared, width, bands, per_band, seed)
-    pairs = cut(candidate_pairs(sketched, threshold if by == "overlap" else threshold / SPREAD))
+    pairs = cut(candidate_pairs(sketched, threshold if by == "overlap" else threshold / SPREAD, bands))
     involved = pairs.select(F.explode(F.array("__a", "__b")).alias("__class")).distinct()
     speaker = cut(members.groupBy("__class").agg(F.min("__key").alias("__key")).join(involved, "__class", "left_semi"))
     texts = cut(sieved(rows, speaker, "__key").join(speaker, "__key").select("__class", "__text").dropDuplicates(["__class"]))
