@@ -276,7 +276,7 @@ def sieved(rows: DataFrame, wanted: DataFrame, key: str, bits: int = SIEVE) -> D
     return rows.filter(kept(place))
 
 
-def candidate_pairs(sketched: DataFrame, alike: float, bands: int, parts: int = 3) -> DataFrame:
+def candidate_pairs(sketched: DataFrame, alike: float, bands: int, parts: int = 2) -> DataFrame:
     """__a, __b: different classes that share a band number, each pair once.
 
     Sets of which the smaller has less than ``alike`` of the greater are no pair. Bands are joined in ``parts``
