@@ -61,6 +61,7 @@ def test_blocks_of_queries_and_packed_rows_do_not_matter(spark, rows, monkeypatc
     chunks, questions = spark.createDataFrame(rows[0], CHUNKS), spark.createDataFrame(rows[1], QUESTIONS)
     want = {(r["query_id"], r["chunk"]): r["score"] for r in lexical.bm25(lexical.build(chunks), questions, "id").collect()}
     monkeypatch.setattr(pairs, "ROWS", 7)
+    monkeypatch.setattr(pairs, "STEP", 3)
     got = pairs.bm25_pairs(chunks, questions, query_key="id", block=4).collect()
     assert len(got) == len(want) and {(r["query_id"], r["chunk"]): r["score"] for r in got} == pytest.approx(want, abs=1e-6)
 
